@@ -7,13 +7,16 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from .license_scans import op1_license_scans
+from .mixing import op3_mixing
+from .packing import op9_best_fit_packing
 from .quality_rules import op6_quality_rules
 from .sharding import op8_sharding
+from .simhash_dedup import op4_simhash_dedup
 from .url_filters import op10_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scans, op6_quality_rules, op8_sharding, op10_url_filters)}
+    return {f.__name__: f for f in (op1_license_scans, op3_mixing, op4_simhash_dedup, op6_quality_rules, op8_sharding, op9_best_fit_packing, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
