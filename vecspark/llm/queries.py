@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .embedding_dedup import op2_embedding_dedup
 from .license_scans import op1_license_scans
 from .mixing import op3_mixing
 from .packing import op9_best_fit_packing
@@ -16,7 +17,7 @@ from .url_filters import op10_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scans, op3_mixing, op4_simhash_dedup, op6_quality_rules, op8_sharding, op9_best_fit_packing, op10_url_filters)}
+    return {f.__name__: f for f in (op1_license_scans, op2_embedding_dedup, op3_mixing, op4_simhash_dedup, op6_quality_rules, op8_sharding, op9_best_fit_packing, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
