@@ -22,17 +22,21 @@ def ascii_lower(c: Column) -> Column:
     return F.translate(c, UPPER, UPPER.lower())
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Cuts lineage with a reliable checkpoint in the cluster's shared folder.
+def shared_folder(spark: SparkSession) -> str:
+    """The checkpoint folder that driver and executors share.
 
-    The folder is the session's spark.checkpoint.dir. Only where that is unset (tests, one machine)
-    a temporary folder is made.
+    It is the session's spark.checkpoint.dir. Only where that is unset (tests, one machine) a temporary folder is made.
     """
-    spark = df.sparkSession
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
         folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecspark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
+    return jsc.getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage with a reliable checkpoint in the cluster's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .embedding_dedup import op2_embedding_dedup
 from .license_scans import op1_license_scans
+from .line_dedup import op5_line_dedup
 from .mixing import op3_mixing
 from .packing import op9_best_fit_packing
 from .quality_rules import op6_quality_rules
@@ -17,7 +18,7 @@ from .url_filters import op10_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scans, op2_embedding_dedup, op3_mixing, op4_simhash_dedup, op6_quality_rules, op8_sharding, op9_best_fit_packing, op10_url_filters)}
+    return {f.__name__: f for f in (op1_license_scans, op2_embedding_dedup, op3_mixing, op4_simhash_dedup, op5_line_dedup, op6_quality_rules, op8_sharding, op9_best_fit_packing, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
