@@ -14,11 +14,12 @@ from .packing import op9_best_fit_packing
 from .quality_rules import op6_quality_rules
 from .sharding import op8_sharding
 from .simhash_dedup import op4_simhash_dedup
+from .suffix_dedup import op7_suffix_dedup
 from .url_filters import op10_url_filters
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_license_scans, op2_embedding_dedup, op3_mixing, op4_simhash_dedup, op5_line_dedup, op6_quality_rules, op8_sharding, op9_best_fit_packing, op10_url_filters)}
+    return {f.__name__: f for f in (op1_license_scans, op2_embedding_dedup, op3_mixing, op4_simhash_dedup, op5_line_dedup, op6_quality_rules, op7_suffix_dedup, op8_sharding, op9_best_fit_packing, op10_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
