@@ -21,6 +21,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -160,6 +161,28 @@ def _repeated(table: pa.Table) -> pa.Table:
     return pa.table(out, schema=pa.schema([("batch", pa.int32()), ("ranks", pa.binary())]))
 
 
+def _packed(a: np.ndarray) -> bytes:
+    """A structured array column by column, compressed."""
+    cols = [np.ascontiguousarray(a[n]).view(np.uint8).reshape(len(a), -1) for n in a.dtype.names]
+    # of numbers, bytes of the same weight stand together
+    return zstandard.ZstdCompressor(level=1).compress(b"".join((c if a.dtype[n].subdtype else np.ascontiguousarray(c.T)).tobytes() for n, c in zip(a.dtype.names, cols, strict=True)))
+
+
+def _unpacked(raw: bytes, kind: np.dtype) -> np.ndarray:
+    raw = zstandard.ZstdDecompressor().decompress(raw)
+    n, lo = len(raw) // kind.itemsize, 0
+    out = np.empty(n, kind)
+    for name in kind.names:
+        size = kind[name].itemsize
+        part = np.frombuffer(raw, np.uint8, n * size, lo)
+        lo += n * size
+        if kind[name].subdtype:
+            out[name] = part.reshape(n, size)
+        else:
+            out[name] = np.ascontiguousarray(part.reshape(size, n).T).view(kind[name])[:, 0]
+    return out
+
+
 def _sides(buf: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """SIDE bytes to the left (nearest first) and right of each sample, 0 beyond its document, and how many there are."""
     n_left = np.minimum(at - begin, SIDE).astype(np.uint8)
@@ -207,9 +230,9 @@ def _second_round(docs: pa.Table, held: pa.Table, buckets: int) -> pa.Table:
         order = np.argsort(which, kind="stable")
         out["bucket"].append(b)
         out["batch"].append(batch)
-        out["contexts"].append(ctx[rows][first].tobytes())
+        out["contexts"].append(_packed(ctx[rows][first]))
         out["counts"].append(np.bincount(which, minlength=len(first)).astype("<u4").tobytes())
-        out["places"].append(place[rows][order].tobytes())
+        out["places"].append(_packed(place[rows][order]))
     return pa.table(out, schema=schema)
 
 
@@ -232,9 +255,9 @@ def _least(classes: np.ndarray, values: np.ndarray) -> np.ndarray:
 def _verdicts(table: pa.Table) -> pa.Table:
     """(batch, verdicts): for each place the bits of the offsets x whose window (x bytes to the left) an earlier document has."""
     schema = pa.schema([("batch", pa.int32()), ("verdicts", pa.binary())])
-    blocks = [np.frombuffer(x, CONTEXT) for x in table.column("contexts").to_pylist()]
+    blocks = [_unpacked(x, CONTEXT) for x in table.column("contexts").to_pylist()]
     counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
-    places = np.concatenate([np.frombuffer(x, PLACE) for x in table.column("places").to_pylist()])
+    places = np.concatenate([_unpacked(x, PLACE) for x in table.column("places").to_pylist()])
     owner = np.repeat(np.arange(len(blocks)), [int(c.sum()) for c in counts])
     block, count = np.concatenate(blocks), np.concatenate(counts)
     ctx, which = np.unique(block.view(f"V{CONTEXT.itemsize}"), return_inverse=True)
@@ -269,7 +292,7 @@ def _verdicts(table: pa.Table) -> pa.Table:
         v = np.zeros(len(rows), VERDICT)
         v["row"], v["at"], v["windows"] = places["row"][rows], places["at"][rows], said[rows]
         out["batch"].append(batches[o])
-        out["verdicts"].append(v.tobytes())
+        out["verdicts"].append(_packed(v))
     return pa.table(out, schema=schema)
 
 
@@ -278,7 +301,7 @@ def _removed(docs: pa.Table, held: pa.Table) -> pa.Table:
     bodies, keys, buf, ends = _documents(docs)
     change = np.zeros(len(buf) + 1, np.int32)
     if held.num_rows:
-        v = np.frombuffer(b"".join(held.column("verdicts").to_pylist()), VERDICT)
+        v = np.concatenate([_unpacked(x, VERDICT) for x in held.column("verdicts").to_pylist()])
         at = v["at"].astype(np.int64) + np.concatenate(([0], ends[:-1]))[v["row"]]
         for x in range(SIDE + 1):
             p = at[(v["windows"] >> np.uint32(x)) & np.uint32(1) == 1] - x
