@@ -33,7 +33,7 @@ WINDOW = THRESHOLD - GRAM + 1
 SIDE = THRESHOLD - GRAM
 CHUNK = 1 << 17
 #: Batches of documents for each shuffle partition.
-BATCHES = 8
+BATCHES = 4
 LAST = 2**63 - 1
 
 _rng = np.random.default_rng(17)
@@ -196,7 +196,7 @@ def _sides(buf: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray)
     return left, right, n_left, n_right
 
 
-CONTEXT = np.dtype([("rank", "<u8"), ("second", "<u8"), ("sizes", "u1", 2), ("left", "u1", SIDE), ("right", "u1", SIDE)])
+CONTEXT = np.dtype([("rank", "<u8"), ("second", "<u4"), ("sizes", "u1", 2), ("left", "u1", SIDE), ("right", "u1", SIDE)])
 PLACE = np.dtype([("key", "<i8"), ("row", "<u4"), ("at", "<u4")])
 VERDICT = np.dtype([("row", "<u4"), ("at", "<u4"), ("windows", "<u4")])
 
@@ -216,8 +216,10 @@ def _second_round(docs: pa.Table, held: pa.Table, buckets: int) -> pa.Table:
     ctx = np.zeros(len(at), CONTEXT)
     ctx["rank"] = rank
     with np.errstate(over="ignore"):
+        second = np.zeros(len(at), np.uint64)
         for i in range(GRAM):
-            ctx["second"] = ctx["second"] * _MULT + _SECOND[i][buf[at + i]]
+            second = second * _MULT + _SECOND[i][buf[at + i]]
+        ctx["second"] = second >> np.uint64(32)
     left, right, ctx["sizes"][:, 0], ctx["sizes"][:, 1] = _sides(buf, at, begin, ends[row])
     ctx["left"], ctx["right"] = left, right
     place = np.zeros(len(at), PLACE)
