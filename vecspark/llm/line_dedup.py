@@ -92,7 +92,8 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """
     names = docs.columns
     runs = repeats(docs, id_col, text_col).withColumnsRenamed({"id": "_of", "runs": "_runs"})
-    df = docs.join(runs, F.col(id_col) == F.col("_of"), "left").select(*(docs[n] for n in names), "_runs")
+    # the documents are not sorted for this join; a partition's runs are far fewer than its texts
+    df = docs.join(runs.hint("shuffle_hash"), F.col(id_col) == F.col("_of"), "left").select(*(docs[n] for n in names), "_runs")
     lines = _lines(F.col(text_col))
     worded = F.filter(F.transform(lines, lambda s, i: F.when(F.regexp_count(s, F.lit(SPACE_WORD)) > 0, i).otherwise(-1)), lambda i: i >= 0)
     numbers = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["lo"], r["hi"]))))
