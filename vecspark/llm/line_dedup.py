@@ -23,15 +23,16 @@ def _lines(text: Column) -> Column:
 
 
 def _entries(text: Column) -> Column:
-    """Hash and number of words of each line with a word."""
-    hashed = F.transform(_lines(text), lambda s: F.struct(F.xxhash64(s).alias("h"), F.regexp_count(s, F.lit(SPACE_WORD)).alias("n")))
+    """Hash, number of words and number in the text of each line with a word."""
+    hashed = F.transform(_lines(text), lambda s, i: F.struct(F.xxhash64(s).alias("h"), F.regexp_count(s, F.lit(SPACE_WORD)).alias("n"), i.alias("i")))
     return F.filter(hashed, lambda e: e["n"] > 0)
 
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, at, len, low, whole, head, tail): a window's first line and number of lines (among lines with words), its
-    fingerprint, the hash of the whole window, and the hashes of the lines around it, nearest first, up to WORDS words
-    each way. Lines have a word at least, so no slice here is longer than WORDS."""
+    """Rows (id, at, len, low, whole, head, tail, lines): a window's first line and number of lines (among lines with
+    words), its fingerprint, the hash of the whole window, the hashes of the lines around it, nearest first, up to WORDS
+    words each way, and the numbers in the text of all these lines. Lines have a word at least, so no slice here is
+    longer than WORDS."""
     e = F.col("_e")
 
     def grow(acc: Column, x: Column) -> Column:
@@ -58,7 +59,9 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     first = F.greatest(F.col("at") - WORDS, F.lit(0))
     head = near(F.reverse(F.slice(e, first + 1, F.col("at") - first)))
     tail = near(F.slice(e, F.col("at") + F.col("w.len") + 1, WORDS))
-    return df.select("id", "at", F.col("w.len").alias("len"), F.col("w.low").alias("low"), F.col("w.whole").alias("whole"), head.alias("head"), tail.alias("tail"))
+    df = df.select("id", "at", "_e", F.col("w.len").alias("len"), F.col("w.low").alias("low"), F.col("w.whole").alias("whole"), head.alias("head"), tail.alias("tail"))
+    span = F.slice(e, F.col("at") - F.size("head") + 1, F.size("head") + F.col("len") + F.size("tail"))
+    return df.withColumn("lines", F.transform(span, lambda x: x["i"])).drop("_e")
 
 
 def _common(a: Column, b: Column) -> Column:
@@ -69,19 +72,20 @@ def _common(a: Column, b: Column) -> Column:
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, runs): each document's later repeated runs, as lines lo .. hi among its lines with words."""
+    """Rows (id, gone): the numbers of the lines of each document that are in a later repeated run."""
     w = cut(windows(docs, id_col, text_col))
     shared = w.groupBy("low", "whole").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("low", "whole", "f")
     found = w.join(shared, ["low", "whole"])
     first = found.where((F.col("id") == F.col("f.id")) & (F.col("at") == F.col("f.at"))).select("low", "whole", F.col("head").alias("fhead"), F.col("tail").alias("ftail")).dropDuplicates(["low", "whole"])
     later = found.where((F.col("id") != F.col("f.id")) | (F.col("at") != F.col("f.at")))
     both = later.join(first, ["low", "whole"])
-    lo = F.col("at") - _common(F.col("head"), F.col("fhead"))
+    left, right = _common(F.col("head"), F.col("fhead")), _common(F.col("tail"), F.col("ftail"))
+    both = both.select("id", "at", "len", "f", "lines", F.size("head").alias("before"), left.alias("left"), right.alias("right"))
     # within one document the first run stays whole
-    lo = F.when(F.col("id") == F.col("f.id"), F.greatest(lo, F.col("f.at") + F.col("len"))).otherwise(lo)
-    hi = F.col("at") + F.col("len") - 1 + _common(F.col("tail"), F.col("ftail"))
-    runs = both.select("id", lo.alias("lo"), hi.alias("hi")).where("lo <= hi")
-    return runs.groupBy("id").agg(F.collect_set(F.struct("lo", "hi")).alias("runs"))
+    skip = F.when(F.col("id") == F.col("f.id"), F.greatest(F.col("f.at") + F.col("len") - F.col("at") + F.col("left"), F.lit(0))).otherwise(0)
+    size = F.greatest(F.col("left") + F.col("len") + F.col("right") - skip, F.lit(0))
+    runs = both.select("id", F.slice("lines", F.col("before") - F.col("left") + skip + 1, size).alias("run")).where("size(run) > 0")
+    return runs.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("run"))).alias("gone"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -91,18 +95,14 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     count as one document and lose the same lines. Documents may become empty; none is dropped.
     """
     names = docs.columns
-    runs = repeats(docs, id_col, text_col).withColumnsRenamed({"id": "_of", "runs": "_runs"})
+    runs = repeats(docs, id_col, text_col).withColumnsRenamed({"id": "_of", "gone": "_gone"})
     # the documents are not sorted for this join; a partition's runs are far fewer than its texts
-    df = docs.join(runs.hint("shuffle_hash"), F.col(id_col) == F.col("_of"), "left").select(*(docs[n] for n in names), "_runs")
-    lines = _lines(F.col(text_col))
-    worded = F.filter(F.transform(lines, lambda s, i: F.when(F.regexp_count(s, F.lit(SPACE_WORD)) > 0, i).otherwise(-1)), lambda i: i >= 0)
-    numbers = F.array_distinct(F.flatten(F.transform("_runs", lambda r: F.sequence(r["lo"], r["hi"]))))
-    gone = F.array_compact(F.transform(numbers, lambda k: F.get(F.col("_worded"), k)))
-    df = df.withColumn("_worded", F.when(F.col("_runs").isNotNull(), worded)).withColumn("_gone", gone)
+    df = docs.join(runs.hint("shuffle_hash"), F.col(id_col) == F.col("_of"), "left").select(*(docs[n] for n in names), "_gone")
+    df = df.withColumn("_all", F.when(F.col("_gone").isNotNull(), _lines(F.col(text_col))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_gone"))
-    df = df.withColumn("_all", F.when(F.col("_runs").isNotNull(), lines))
-    text = F.when(F.col("_runs").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_all"), i)), "\n"))
-    return df.withColumn("_new", text).withColumn("_removed", F.coalesce(F.size("_gone"), F.lit(0)).cast("long")).withColumn("_removed", F.when(F.col("_runs").isNull(), 0).otherwise(F.col("_removed"))).select(*(F.col("_new").alias(n) if n == text_col else F.col(n) for n in names), "_removed")
+    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_all"), i)), "\n"))
+    removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")
+    return df.select(*(text.alias(n) if n == text_col else F.col(n) for n in names), removed.alias("_removed"))
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
