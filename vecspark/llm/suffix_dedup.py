@@ -133,9 +133,11 @@ def _bucket(rank: np.ndarray, buckets: int) -> np.ndarray:
 
 def _split(bucket: np.ndarray):
     """Each number and its rows."""
+    if not len(bucket):
+        return
     order = np.argsort(bucket, kind="stable")
     b = bucket[order]
-    cuts = np.nonzero(np.concatenate(([True], b[1:] != b[:-1])))[0] if len(b) else np.empty(0, np.int64)
+    cuts = np.nonzero(np.concatenate(([True], b[1:] != b[:-1])))[0]
     for lo, hi in zip(cuts, [*cuts[1:], len(b)], strict=True):
         yield int(b[lo]), order[lo:hi]
 

@@ -29,7 +29,13 @@ banner-ads.example.org/de/9 popunder-ads.com/serve doubleclick-ads.com/track pil
 casino-royal.example.com/es/4 bet-now.example.com/odds betting-tips.win/odds cheap-meds.example.com/es/8
 seo-links.biz/buy-links spam-mailer.com/bulk clickbait-ads.com/top10 gamble-slots.org/spin
 sexy-chat.example.com/room escort-city.com/list xxx-adult.example.org/en/77 free-casino-bonus.com/en/5
-ads-track.example.com/en/786/ ads-track.example.com/fr/40 cheap-pills.example.org/en/501 tracker-pixel.com/1x1.gif""".split()
+ads-track.example.com/en/786/ ads-track.example.com/fr/40 cheap-pills.example.org/en/501 tracker-pixel.com/1x1.gif
+www.casino-club.example.com/en/41 blog.online-casino.example.org/en/88 m.casino-games.example.com/es/250 casino.example.com/fr/9
+www.free-spins.example.com/en/17 m.free-gifts.example.org/en/301 blog.freebets.example.com/en/64 sports-bets.example.org/es/12
+www.pills-rx.example.com/en/5/ blog.diet-pills.example.org/es/96 m.cheap-viagra.example.com/en/733 cheap-loans.example.com/en/15
+www.spam-links.example.com/en/20 blog.spammy.example.org/en/447 m.link-farm.example.com/en/9 content-farm.example.org/es/81
+www.ads-network.example.com/en/66 m.adclick.example.org/en/54 blog.track-click.example.com/en/310 ad-tracker.example.org/fr/3
+www.poker-win.example.com/en/70 win-big.example.org/en/18 m.jackpot-win.example.com/es/27 blog.slots-win.example.com/en/92""".split()
 ALLOWED = """en.wikipedia.org/wiki/Logistic news.example.com/en/1 blog.thtion.example.com/en/16 www.therer.example.com/en/814
 m.therou.example.com/fr/860 ththed.example.org/en/453 blog.ththly.example.org/es/180 www.theren.example.org/de/245
 docs.python.org/3/library docs.example.com/guide/start shop.example.com/en/books library.example.org/catalog/7
@@ -90,10 +96,10 @@ def train(spark: SparkSession) -> list[float]:
     df = spark.createDataFrame(rows, "url string, label double").coalesce(1)
     host, path = split_url(F.col("url"))
     g = grams(host, path)
-    # counts of each bucket, as fractions, so that long urls weigh no more than short ones
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter("g", lambda x: x == b)) / F.size("g"))
+    # counts of each bucket over the root of their sum, so that long urls don't outweigh short ones
+    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter("g", lambda x: x == b)) / F.sqrt(F.size("g").cast("double")))
     data = df.select("label", g.alias("g")).select("label", array_to_vector(dense.cast("array<double>")).alias("features"))
-    model = LogisticRegression(regParam=1e-5, maxIter=60, standardization=False).fit(data)
+    model = LogisticRegression(regParam=1e-4, maxIter=100, standardization=False).fit(data)
     return [float(x) for x in model.coefficients] + [float(model.intercept)]
 
 
@@ -111,7 +117,7 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url")
     g = grams(F.col("host"), F.col("path"))
     df = df.select("*", rule.alias("rule"), said.alias("_said"), g.alias("_g"))
     total = F.aggregate("_g", F.lit(0.0), lambda a, b: a + F.element_at(w, b + 1))
-    z = F.lit(weights[-1]) + F.when(F.size("_g") > 0, total / F.size("_g")).otherwise(0.0)
+    z = F.lit(weights[-1]) + F.when(F.size("_g") > 0, total / F.sqrt(F.size("_g").cast("double"))).otherwise(0.0)
     df = df.select("*", (1 / (1 + F.exp(-z))).alias("probability"))
     verdict = F.coalesce("_said", F.when(F.col("probability") >= THRESHOLD, "block").otherwise("allow"))
     return df.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "probability")
