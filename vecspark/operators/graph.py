@@ -12,7 +12,7 @@ from ..functions.probability import simhash_p
 from ..lineage import saved
 from . import candidates as C
 from .hashing import CrossPolytope, FHTCrossPolytope, Independent, SimHash, hash_codes, sketches
-from .knn import graph_of, kth_similarity, knn_graph, score_pairs
+from .knn import graph_of, kth_similarity, knn, knn_graph, score_pairs
 
 SKETCHES = 16
 BATCH = 16
@@ -104,31 +104,32 @@ def varying_repetitions(points: DataFrame, k: int, recall: float = 0.8, keep_poi
     edges = None
     frozen = points.select("id").withColumn("frozen", F.lit(False))
     live, step = n, 0
-    for length in range(initial_hash_length, -1, -1):
+    for length in range(initial_hash_length, 0, -1):
         if live <= live_least:
             break
         for _ in range(most):
-            batch = 1 if length == 0 else BATCH
+            batch = BATCH
             step += 1
-            if length:
-                h = _codes(points, dim, batch, length, seed + 1000 * step, hash_function, num_rotations)
-            else:
-                h = points.select(F.lit(0).alias("table_id"), "id", F.lit(0).cast("long").alias("h"))
-            if use_sketching and length:
+            h = _codes(points, dim, batch, length, seed + 1000 * step, hash_function, num_rotations)
+            if use_sketching:
                 kth = None if edges is None else kth_similarity(edges, points, k)
                 h = _with_sketches(h, points, dim, length, kth, seed)
             h = h.join(frozen, "id")
             sized = h.groupBy("table_id", "h").agg(F.sum((~F.col("frozen")).cast("long")).alias("a"), F.sum(F.col("frozen").cast("long")).alias("b"))
             updates = sized.agg(F.sum(F.col("a") * (F.col("a") - 1) / 2 + F.col("a") * F.col("b"))).first()[0] or 0
-            edges = saved(graph_of(score_pairs(C.bucket_pairs(h, use_sketching and length > 0, keep_points), points), k, edges))
+            edges = saved(graph_of(score_pairs(C.bucket_pairs(h, use_sketching, keep_points), points), k, edges))
             reps[length] = reps.get(length, 0) + batch
             miss = F.lit(1.0)
             for b, r in reps.items():
                 miss = miss * F.pow(1 - F.pow(simhash_p(F.col("kth")), F.lit(float(b))), F.lit(float(r)))
             frozen = saved(kth_similarity(edges, points, k).select("id", ((1 - miss) >= recall).alias("frozen")))
-            live = frozen.where("not frozen").count() if length else 0
-            if length == 0 or live <= live_least or updates > update_treshold * live * batch:
+            live = frozen.where("not frozen").count()
+            if live <= live_least or updates <= update_treshold * live * batch:
                 break
+    if live > live_least:
+        # no bits at all: one bucket, so the live points meet all others
+        rest = knn(points.join(frozen.where("not frozen"), "id", "left_semi"), points, k, exclude_self=True)
+        edges = saved(graph_of(rest.select(F.col("src").alias("i"), F.col("dst").alias("j"), "sim"), k, edges))
     return edges
 
 
