@@ -501,7 +501,7 @@ def test_url_filters(spark):
     for i, u in enumerate(URLS):
         host, path, rule, verdict = url_brute(u)
         assert (got[i].host, got[i].path, got[i].rule) == (host, path, rule)
-        assert got[i].verdict == (verdict or ("block" if got[i].probability >= 0.5 else "allow"))
+        assert got[i].verdict == (verdict or ("block" if got[i].probability >= url_filters.THRESHOLD else "allow"))
     assert url_filters.filter_urls(df.where("false")).count() == 0
 
 
@@ -509,7 +509,7 @@ def test_url_model_holds_out(spark):
     bad = ["cheap-pills.example.com/es/9", "www.casino-online.example.org/en/4", "ads-track.example.com/en/5", "poker-casino.win/play"]
     good = ["www.thanin.example.com/en/77", "blog.reerth.example.com/es/3", "docs.library.org/guide/2", "m.onhath.example.org/en/512"]
     df = spark.createDataFrame([(i, "http://" + u) for i, u in enumerate(bad + good)], "page_id long, url string")
-    got = {r.page_id: r.probability >= 0.5 for r in url_filters.filter_urls(df).collect()}
+    got = {r.page_id: r.verdict == "block" for r in url_filters.filter_urls(df).collect()}
     assert [got[i] for i in range(8)] == [True] * 4 + [False] * 4
 
 

@@ -52,7 +52,7 @@ history.example.org/rome/empire www.newspaper.com/politics/2020 wiki.example.com
 
 BUCKETS = 2048
 GRAM_LENGTHS = (3, 4)
-THRESHOLD = 0.5
+THRESHOLD = 0.66
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
