@@ -533,3 +533,13 @@ def test_stages_on_odd_rows(spark, odd, number):
         out = stage(spark, df, SF)
         out.count()
         assert number == 4 or out.columns == df.columns
+
+
+@pytest.mark.parametrize("sf_dir", [SF, "/root/testdata/sf0.01"])
+def test_quality_rules_sql(spark, sf_dir):
+    import oracle
+    from vecspark.llm import queries
+
+    con = oracle.connect(sf_dir)
+    for name, sql in queries.oracle_sql().items():
+        assert oracle.differences(queries.queries()[name](spark, sf_dir), con, sql) == []
