@@ -159,7 +159,10 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document of the smallest doc_id of each group stays; of its repeated rows one."""
+    """Pipeline stage: the document of the smallest doc_id of each group stays; of its repeated rows one.
+
+    Rows with a null doc_id count as one document: one of them stays if some group has null ids only.
+    """
     found = groups(cut(fingerprints(docs)))
     keep = found.where("doc_id <=> component_id").select("doc_id").distinct()
     left = docs.join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
