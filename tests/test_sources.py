@@ -1,3 +1,4 @@
+import math
 """Readers, generators, the result store, runs and the stream."""
 
 import gzip
@@ -73,6 +74,16 @@ def test_factors(spark):
     assert users.count() == 12 and len(items.first().vec) == 4
 
 
+def test_bm25(spark):
+    rows = [(0, 0, 2.0), (0, 1, 4.0), (1, 0, 6.0), (2, 2, 3.0)]
+    got = {(r.user, r.item): r.rating for r in D.bm25(spark.createDataFrame(rows, "user int, item int, count double")).collect()}
+    of_item = {i: sum(c for _, j, c in rows if j == i) for i in range(3)}
+    of_user = {u: sum(1 for v, _, _ in rows if v == u) for u in range(3)}
+    for u, i, c in rows:
+        norm = 0.2 + 0.8 * of_item[i] / (sum(of_item.values()) / 3)
+        assert abs(got[u, i] - c * 101 / (100 * norm + c) * math.log(3 / (1 + of_user[u]))) < 1e-9
+
+
 def test_stream_appends_codes(spark, tmp_path):
     p = D.random_unit(spark, 40, 8)
     family, source = SimHash(8), Independent(2, 6)

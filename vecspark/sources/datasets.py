@@ -136,18 +136,25 @@ def mips_augment(df: DataFrame, largest: float | None = None) -> DataFrame:
     return df.select("id", F.concat(V.doubles(F.col("vec")), F.array(extra)).alias("vec"))
 
 
+def bm25(ratings: DataFrame, k1: float = 100.0, b: float = 0.8) -> DataFrame:
+    """BM25 weights (user, item, rating) of (user, item, count). Items are the documents and users the terms.
+
+    A user with nearly all items has a weight of zero or below, which implicit ALS takes as no preference.
+    """
+    lengths = ratings.groupBy("item").agg(F.sum("count").alias("len"))
+    total = lengths.agg(F.avg("len").alias("mean"), F.count("*").cast("double").alias("n"))
+    df = ratings.groupBy("user").agg(F.count("*").alias("df"))
+    norm = (1 - b) + b * F.col("len") / F.col("mean")
+    w = F.col("count") * (k1 + 1) / (k1 * norm + F.col("count")) * F.log(F.col("n") / (1 + F.col("df")))
+    # total is one row
+    return ratings.join(lengths, "item").join(df, "user").crossJoin(F.broadcast(total)).select("user", "item", w.alias("rating"))
+
+
 def factors(ratings: DataFrame, dim: int, seed: int = 44, k1: float = 100.0, b: float = 0.8) -> tuple[DataFrame, DataFrame]:
     """Implicit ALS factors of users and items after BM25 weights, from (user, item, count)."""
     from pyspark.ml.recommendation import ALS
 
-    n = ratings.select("item").distinct().count()
-    lengths = ratings.groupBy("user").agg(F.sum("count").alias("len"))
-    mean = lengths.agg(F.avg("len").alias("mean"))
-    df = ratings.groupBy("item").agg(F.count("*").alias("df"))
-    norm = (1 - b) + b * F.col("len") / F.col("mean")
-    w = F.col("count") * (k1 + 1) / (k1 * norm + F.col("count")) * F.log(F.lit(float(n)) / (1 + F.col("df")))
-    weighted = ratings.join(lengths, "user").join(df, "item").crossJoin(F.broadcast(mean)).select("user", "item", F.greatest(w, F.lit(0.0)).alias("rating"))
-    model = ALS(rank=dim, implicitPrefs=True, userCol="user", itemCol="item", ratingCol="rating", seed=seed).fit(weighted)
+    model = ALS(rank=dim, implicitPrefs=True, userCol="user", itemCol="item", ratingCol="rating", seed=seed).fit(bm25(ratings, k1, b))
     return model.userFactors.withColumnRenamed("features", "vec"), model.itemFactors.withColumnRenamed("features", "vec")
 
 
