@@ -536,10 +536,9 @@ def test_stages_on_odd_rows(spark, odd, number):
 
 
 @pytest.mark.parametrize("sf_dir", [SF, "/root/testdata/sf0.01"])
-def test_quality_rules_sql(spark, sf_dir):
+@pytest.mark.parametrize("name", ["op1_license_scans", "op2_embedding_dedup", "op6_quality_rules", "op7_suffix_dedup"])
+def test_matches_sql(spark, sf_dir, name):
     import oracle
     from vecspark.llm import queries
 
-    con = oracle.connect(sf_dir)
-    for name, sql in queries.oracle_sql().items():
-        assert oracle.differences(queries.queries()[name](spark, sf_dir), con, sql) == []
+    assert oracle.differences(queries.queries()[name](spark, sf_dir), oracle.connect(sf_dir), queries.oracle_sql()[name]) == []

@@ -1,4 +1,4 @@
-"""The queries of the training-data operators, and SQL for those that SQL can express."""
+"""The queries of the training-data operators, and the SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import oracles
 from .embedding_dedup import op2_embedding_dedup
 from .license_scans import op1_license_scans
 from .line_dedup import op5_line_dedup
@@ -22,26 +23,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_license_scans, op2_embedding_dedup, op3_mixing, op4_simhash_dedup, op5_line_dedup, op6_quality_rules, op7_suffix_dedup, op8_sharding, op9_best_fit_packing, op10_url_filters)}
 
 
-#: The whole ledger and verdict of quality rules (doc_id is unique in documents).
-OP6_SQL = r"""
-WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
-w AS (SELECT doc_id, t, regexp_extract_all(t, '[^\x20\x09-\x0D]+') AS ws FROM d),
-grams AS (SELECT doc_id, i, ws[i] || ' ' || ws[i + 1] || ' ' || ws[i + 2] AS g FROM (SELECT doc_id, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
-again AS (SELECT doc_id, i, count(*) OVER (PARTITION BY doc_id, g) AS c FROM grams),
-rep AS (SELECT doc_id, count(DISTINCT i + k) AS n_repeat_words FROM again, range(0, 3) r(k) WHERE c > 1 GROUP BY 1),
-lines AS (SELECT doc_id, count(*) AS n_lines, count(*) - count(DISTINCT l) AS n_dup_lines FROM (SELECT doc_id, unnest(string_split(t, chr(10))) AS l FROM d) WHERE regexp_matches(l, '[^\x20\x09-\x0D]') GROUP BY 1),
-m AS (SELECT w.doc_id, len(ws)::BIGINT AS n_words, length(regexp_replace(t, '[\x20\x09-\x0D]', '', 'g'))::BIGINT AS word_chars,
-  length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup_lines, 0)::BIGINT AS n_dup_lines,
-  coalesce(n_repeat_words, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines,
-  length(regexp_replace(t, '[\x00-\x40\x5B-\x60\x7B-\x7F]', '', 'g')) AS n_letters
-  FROM w LEFT JOIN rep USING (doc_id) LEFT JOIN lines USING (doc_id)),
-b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_repeat_words > 50 * n_words THEN 2 ELSE 0 END
-  + CASE WHEN n_symbols > 0.25 * n_words THEN 4 ELSE 0 END + CASE WHEN n_lines >= 4 AND n_dup_lines > 0.5 * n_lines THEN 8 ELSE 0 END
-  + CASE WHEN n_words > 0 AND word_chars < 1.5 * n_words THEN 16 ELSE 0 END + CASE WHEN n_words > 0 AND word_chars > 25 * n_words THEN 32 ELSE 0 END
-  + CASE WHEN word_chars > 0 AND n_letters < 0.4 * word_chars THEN 64 ELSE 0 END)::BIGINT AS fail_bits FROM m)
-SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
-"""
-
-
 def oracle_sql() -> dict[str, str]:
-    return {"op6_quality_rules": OP6_SQL}
+    return {"op1_license_scans": oracles.license_sql(), "op2_embedding_dedup": oracles.EMBEDDING_SQL, "op6_quality_rules": oracles.QUALITY_SQL, "op7_suffix_dedup": oracles.SUFFIX_SQL}
