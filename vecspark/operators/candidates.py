@@ -58,12 +58,10 @@ def _blocks(keyed: DataFrame, bucket: Column, size: int, sketched: bool) -> Data
 def projection_pairs(hashes: DataFrame, weights: dict[int, list[float]], size: int, sketched: bool = False) -> DataFrame:
     """Blocks in the order of the sum of weights over set bits; weights by table, that of the lowest bit first."""
     table = F.create_map(*(x for t, w in weights.items() for x in (F.lit(t), F.lit([float(v) for v in w]))))
-    top = max(len(w) for w in weights.values())
     wide = max(1e-9, *(sum(abs(x) for x in w) for w in weights.values()))
-    ws = F.element_at(table, F.col("table_id"))
-    value = F.lit(0.0)
-    for bit in range(top):
-        value = value + F.when(F.shiftright("h", bit).bitwiseAND(F.lit(1)) == 1, F.coalesce(F.get(ws, F.lit(bit)), F.lit(0.0))).otherwise(0.0)
+    # the map stands in the plan once, not once for each bit
+    set_bits = F.transform(F.element_at(table, F.col("table_id")), lambda w, bit: F.when(F.call_function("shiftright", F.col("h"), bit).bitwiseAND(F.lit(1)) == 1, w).otherwise(0.0))
+    value = F.aggregate(set_bits, F.lit(0.0), lambda a, w: a + w)
     return _blocks(hashes.withColumn("_o", F.round(value, 9)), F.floor((F.col("_o") / wide + 1) * 512).cast("int"), size, sketched)
 
 
