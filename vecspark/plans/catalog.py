@@ -48,11 +48,16 @@ def points(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each customer's order priorities and statuses, months apart, as small integer sets: (id, tokens)."""
+    """The months of each customer's orders, as small integer sets: (id, tokens)."""
     o = read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id"), F.month("o_orderdate").cast("long").alias("t"))
     return o.groupBy("id").agg(F.array_sort(F.collect_set("t")).alias("tokens"))
 
 
+def part_baskets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All parts that each supplier has delivered: (id, tokens)."""
+    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.array_sort(F.collect_set("l_partkey")).alias("tokens"))
+
+
 def rounded(df: DataFrame, **cols) -> DataFrame:
     return df.withColumns({c: F.round(F.col(c), n) for c, n in cols.items()})
 
@@ -667,8 +672,9 @@ def lsh_index_search(spark, sf_dir):
 
 @query()
 def lsh_index_search_sets(spark, sf_dir):
-    s = _supplier_sets(spark, sf_dir)
-    return edges_out(Index("jaccard", 50, tables=16).fit(s).search(s.where("id % 20 = 0"), K, 0.8))
+    s = part_baskets(spark, sf_dir)
+    universe = (read(spark, sf_dir, "lineitem").agg(F.max("l_partkey")).first()[0] or 0) + 1
+    return edges_out(Index("jaccard", universe, tables=16).fit(s).search(s.where("id % 20 = 0"), K, 0.9))
 
 
 # ---- adapters
