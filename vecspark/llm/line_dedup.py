@@ -1,9 +1,11 @@
 """Line dedup by winnowing over line hashes.
 
-A window is the shortest run of lines from a given line on that has WORDS words. Its least line hash is its
-fingerprint, which is the same wherever the run stands; so every run of WORDS words that repeats has a fingerprint in
-common with its first occurrence. Fingerprints (with the hash of their window, which verifies it) are joined with
-their first position by (document, line); the match is extended line by line both ways; later runs are deleted.
+A window is the shortest run of lines from a given line on that has WORDS words, or (mirror window) the shortest such
+run back from a given line. Its least line hash is its fingerprint, which is the same wherever the run stands; so the
+windows of every run of WORDS words that repeats have a fingerprint in common with their first occurrence. Every line of
+such a run lies in the window from the run's first line or in a mirror window within the run, so no match has to be
+extended. Fingerprints (with the hash of their window, which verifies it) are joined with their first position by
+(document, line); the lines of later windows are deleted.
 Everything is SQL functions. A fingerprint's rows are pre-aggregated to one first position before they are joined, on
 a unique side, so a passage that stands in very many documents is never gathered in one task.
 """
@@ -29,10 +31,10 @@ def _entries(text: Column) -> Column:
 
 
 def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, at, len, low, whole, head, tail, lines): a window's first line and number of lines (among lines with
-    words), its fingerprint, the hash of the whole window, the hashes of the lines around it, nearest first, up to WORDS
-    words each way, and the numbers in the text of all these lines. Lines have a word at least, so no slice here is
-    longer than WORDS."""
+    """Rows (id, at, len, low, whole, lines): a window's first line and number of lines (among lines with words), its
+    fingerprint, the hash of the whole window and the numbers in the text of its lines. Each line has the window that
+    starts at it and the mirror window that ends at it, with hashes of their own. Lines have a word at least, so no
+    slice here is longer than WORDS."""
     e = F.col("_e")
 
     def grow(acc: Column, x: Column) -> Column:
@@ -45,30 +47,21 @@ def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         )
         return F.when(full, acc).otherwise(more)
 
-    zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("len"), F.lit(2**63 - 1).alias("low"), F.lit(0).cast("long").alias("whole"))
-    df = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _entries(F.col(text_col)).alias("_e")).where(F.size("_e") > 0)
-    df = df.select("id", "_e", F.posexplode(F.transform(F.sequence(F.lit(1), F.size("_e")), lambda i: F.aggregate(F.slice(e, i, WORDS), zero, grow))).alias("at", "w"))
-    df = df.where(F.col("w.words") >= WORDS)
-
-    def near(part: Column) -> Column:
-        """Hashes while the words before are fewer than WORDS."""
-        init = F.struct(F.lit(0).alias("words"), F.array().cast("array<bigint>").alias("hs"))
-        step = lambda acc, x: F.when(acc["words"] >= WORDS, acc).otherwise(F.struct((acc["words"] + x["n"]).alias("words"), F.concat(acc["hs"], F.array(x["h"])).alias("hs")))
-        return F.aggregate(part, init, step, lambda acc: acc["hs"])
+    def window(part: Column, start: int) -> Column:
+        zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("len"), F.lit(2**63 - 1).alias("low"), F.lit(start).cast("long").alias("whole"))
+        return F.aggregate(part, zero, grow)
 
-    first = F.greatest(F.col("at") - WORDS, F.lit(0))
-    head = near(F.reverse(F.slice(e, first + 1, F.col("at") - first)))
-    tail = near(F.slice(e, F.col("at") + F.col("w.len") + 1, WORDS))
-    df = df.select("id", "at", "_e", F.col("w.len").alias("len"), F.col("w.low").alias("low"), F.col("w.whole").alias("whole"), head.alias("head"), tail.alias("tail"))
-    span = F.slice(e, F.col("at") - F.size("head") + 1, F.size("head") + F.col("len") + F.size("tail"))
-    return df.withColumn("lines", F.transform(span, lambda x: x["i"])).drop("_e")
+    def both(i: Column) -> Column:
+        first = F.greatest(i - WORDS, F.lit(0))
+        back = F.reverse(F.slice(e, first + 1, i - first))
+        return F.array(F.struct(i.alias("i"), F.lit(False).alias("mirror"), window(F.slice(e, i, WORDS), 0).alias("w")), F.struct(i.alias("i"), F.lit(True).alias("mirror"), window(back, 1).alias("w")))
 
-
-def _common(a: Column, b: Column) -> Column:
-    """Length of the common prefix of two arrays."""
-    same = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    init = F.struct(F.lit(0).alias("n"), F.lit(True).alias("go"))
-    return F.aggregate(same, init, lambda acc, s: F.struct((acc["n"] + (acc["go"] & s).cast("int")).alias("n"), (acc["go"] & s).alias("go")), lambda acc: acc["n"])
+    df = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _entries(F.col(text_col)).alias("_e")).where(F.size("_e") > 0)
+    found = F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.size("_e")), both)), lambda x: x["w"]["words"] >= WORDS)
+    df = df.select("id", "_e", F.explode(found).alias("x"))
+    at = F.when(F.col("x.mirror"), F.col("x.i") - F.col("x.w.len")).otherwise(F.col("x.i") - 1)
+    df = df.select("id", "_e", at.alias("at"), F.col("x.w.len").alias("len"), F.col("x.w.low").alias("low"), F.col("x.w.whole").alias("whole"))
+    return df.withColumn("lines", F.transform(F.slice(e, F.col("at") + 1, F.col("len")), lambda x: x["i"])).drop("_e")
 
 
 def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -76,15 +69,11 @@ def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     w = cut(windows(docs, id_col, text_col))
     shared = w.groupBy("low", "whole").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("low", "whole", "f")
     found = w.join(shared, ["low", "whole"])
-    first = found.where((F.col("id") == F.col("f.id")) & (F.col("at") == F.col("f.at"))).select("low", "whole", F.col("head").alias("fhead"), F.col("tail").alias("ftail")).dropDuplicates(["low", "whole"])
     later = found.where((F.col("id") != F.col("f.id")) | (F.col("at") != F.col("f.at")))
-    both = later.join(first, ["low", "whole"])
-    left, right = _common(F.col("head"), F.col("fhead")), _common(F.col("tail"), F.col("ftail"))
-    both = both.select("id", "at", "len", "f", "lines", F.size("head").alias("before"), left.alias("left"), right.alias("right"))
     # within one document the first run stays whole
-    skip = F.when(F.col("id") == F.col("f.id"), F.greatest(F.col("f.at") + F.col("len") - F.col("at") + F.col("left"), F.lit(0))).otherwise(0)
-    size = F.greatest(F.col("left") + F.col("len") + F.col("right") - skip, F.lit(0))
-    runs = both.select("id", F.slice("lines", F.col("before") - F.col("left") + skip + 1, size).alias("run")).where("size(run) > 0")
+    skip = F.when(F.col("id") == F.col("f.id"), F.greatest(F.col("f.at") + F.col("len") - F.col("at"), F.lit(0))).otherwise(0)
+    size = F.greatest(F.col("len") - skip, F.lit(0))
+    runs = later.select("id", F.slice("lines", skip + 1, size).alias("run")).where("size(run) > 0")
     return runs.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("run"))).alias("gone"))
 
 
