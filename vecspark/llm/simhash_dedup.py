@@ -159,11 +159,14 @@ def op4_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: the document of the smallest doc_id of each group stays; of its repeated rows one.
+    """Pipeline stage: of each group one row stays, the one of the smallest doc_id.
 
-    Rows with a null doc_id count as one document: one of them stays if some group has null ids only.
+    A row is its doc_id, its text and its other columns. Null ids come last, and equal ids are told apart by hashes; so
+    rows of one id in different groups do not touch each other, nor do rows without an id. Exact repeats of the row that
+    stays are dropped.
     """
-    found = groups(cut(fingerprints(docs)))
-    keep = found.where("doc_id <=> component_id").select("doc_id").distinct()
-    left = docs.join(keep.withColumnRenamed("doc_id", "_keep"), F.col("doc_id").eqNullSafe(F.col("_keep")), "left_semi")
-    return left.dropDuplicates(["doc_id"])
+    whole = F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"), F.xxhash64(F.lit(1), *docs.columns).alias("all"))
+    keyed = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", whole.alias("whole")))
+    found = groups(cut(fingerprints(keyed, "_row")), "_row")
+    keep = found.where("_row = component_id").select("_row").distinct()
+    return keyed.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
