@@ -138,7 +138,9 @@ def nndescent(points: DataFrame, k: int, repetitions: int = 20, sample_rate: flo
     start = C.random_pairs(points, k, seed).select(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j"))
     edges = saved(graph_of(score_pairs(start, points), k))
     for _ in range(repetitions):
-        edges = saved(graph_of(score_pairs(C.descent_pairs(edges, k, sample_rate), points), k, edges))
+        before, edges = edges, saved(graph_of(score_pairs(C.descent_pairs(edges, k, sample_rate), points), k, edges))
+        if edges.join(before, ["src", "dst"], "left_anti").isEmpty():  # all further rounds give the same
+            break
     return edges
 
 

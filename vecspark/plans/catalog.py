@@ -645,7 +645,7 @@ def graph_equal_failure(spark, sf_dir):
 
 @query()
 def graph_nndescent(spark, sf_dir):
-    return edges_out(G.build_graph("angular", points(spark, sf_dir), K, "nndescent", repetitions=3))
+    return edges_out(G.build_graph("angular", points(spark, sf_dir), K, "nndescent"))
 
 
 # ---- index
