@@ -19,6 +19,12 @@ def minhash_p(sim: Column, universe: int, bits: int) -> Column:
     return sim + (1 - sim) * ((universe / shown - 1) / universe)
 
 
+def binned_p(sim: Column, values: list[float], eps: float) -> Column:
+    """Of a family without a formula: the sampled value of the similarity's bin, which is not above the true one."""
+    bin_no = F.greatest(F.lit(0), F.least(F.lit(len(values) - 1), F.floor(sim / eps + 1e-9))).cast("int")
+    return F.element_at(F.lit([float(v) for v in values]), bin_no + 1)
+
+
 def concatenated_p(p: Column, bits: int, per_function: int = 1) -> Column:
     """Of a hash of so many bits; the part of a function that is left over counts as a whole one."""
     return F.pow(p, F.lit(float(bits // per_function + 1)))

@@ -7,10 +7,9 @@ from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import bits as B
 from . import candidates as C
 from .graph import _codes, build_graph
 from .hashing import in_batches, matrix, sketches
@@ -78,11 +77,12 @@ class HammingRank:
         return self
 
     def query(self, queries: DataFrame, k: int) -> DataFrame:
-        ws = range(self.words)
-        q = self._packed(queries).select(F.col("id").alias("src"), *(F.col(f"w{w}").alias(f"q{w}") for w in ws))
-        d = B.hamming([F.col(f"q{w}") for w in ws], [F.col(f"w{w}") for w in ws])
-        pairs = q.crossJoin(self.codes).select("src", F.col("id").alias("dst"), (1 - d / (64.0 * self.words)).alias("sim"))
-        return topk(pairs, k)
+        def signs(word: Column) -> Column:
+            return F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.call_function("shiftright", word, i).bitwiseAND(F.lit(1)).cast("double"))
+
+        bits = F.concat(*(signs(F.col(f"w{w}")) for w in range(self.words)))
+        as_vectors = lambda packed: packed.select("id", bits.alias("vec"))
+        return knn(as_vectors(self._packed(queries)), as_vectors(self.codes), k, "hamming")
 
 
 class IVF:
@@ -116,9 +116,8 @@ class IVF:
     def query(self, queries: DataFrame, k: int) -> DataFrame:
         q = self._cells(queries, self.n_probe).withColumnRenamed("id", "src")
         pairs = q.join(self.cells.withColumnRenamed("id", "dst"), "cell").select("src", "dst").distinct()
-        both = queries.select((-F.col("id") - 1).alias("id"), "vec").unionByName(self.points.select("id", "vec"))
-        scored = score_pairs(pairs.select((-F.col("src") - 1).alias("i"), F.col("dst").alias("j")), both)
-        return topk(scored.select((-F.col("i") - 1).alias("src"), F.col("j").alias("dst"), "sim"), k)
+        scored = score_pairs(pairs.toDF("i", "j"), queries, others=self.points)
+        return topk(scored.toDF("src", "dst", "sim"), k)
 
 
 def tree_votes(points: DataFrame, dim: int, trees: int, leaf: int, votes: int, depth: int = 12, seed: int = 53) -> DataFrame:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.probability import simhash_p
 from ..lineage import saved
 from . import candidates as C
-from .hashing import CrossPolytope, FHTCrossPolytope, Independent, SimHash, hash_codes, sketches
+from .hashing import CrossPolytope, FHTCrossPolytope, Independent, SimHash, hash_codes, prefix_collision, sketches
 from .knn import graph_of, kth_similarity, knn, knn_graph, score_pairs
 
 SKETCHES = 16
@@ -99,6 +99,7 @@ def plain(points: DataFrame, k: int, recall: float = 0.5, hash_length: int = 16,
 def varying_repetitions(points: DataFrame, k: int, recall: float = 0.8, keep_points: bool = True, guaranteed_fraction: float = 0.9, update_treshold: float = 50, initial_hash_length: int = 24, hash_function: str = "default", num_rotations: int = 3, use_sketching: bool = True, seed: int = 25, most: int = 8) -> DataFrame:
     """Shorter and shorter hashes; points whose neighbours are found with the recall are frozen and stop meeting each other."""
     dim, n = _dim(points), points.count()
+    family = family_of(hash_function, dim, seed, num_rotations)
     live_least = (1 - guaranteed_fraction) * n
     reps: dict[int, int] = {}
     edges = None
@@ -121,7 +122,7 @@ def varying_repetitions(points: DataFrame, k: int, recall: float = 0.8, keep_poi
             reps[length] = reps.get(length, 0) + batch
             miss = F.lit(1.0)
             for b, r in reps.items():
-                miss = miss * F.pow(1 - F.pow(simhash_p(F.col("kth")), F.lit(float(b))), F.lit(float(r)))
+                miss = miss * F.pow(1 - prefix_collision(family, F.col("kth"), b), F.lit(float(r)))
             frozen = saved(kth_similarity(edges, points, k).select("id", ((1 - miss) >= recall).alias("frozen")))
             live = frozen.where("not frozen").count()
             if live <= live_least or updates <= update_treshold * live * batch:

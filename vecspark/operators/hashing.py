@@ -12,27 +12,44 @@ import math
 import random
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+
+from ..functions.probability import binned_p, minhash_p, simhash_p
 
 PRIME = 2147483647
 SCALE = 1000
+MATRIX = 256
 
 
 class Family(Protocol):
-    """A family of hash functions: draw() gives parameters, apply() codes of shape (rows, functions)."""
+    """A family of hash functions: draw() gives parameters, apply() codes of shape (rows, functions).
+
+    collision() is the chance that two rows of a similarity agree in the leading bits of one function.
+    """
 
     bits: int
 
     def draw(self, functions: int) -> object: ...
     def apply(self, rows: object, params: object) -> np.ndarray: ...
+    def collision(self, sim: Column, bits: int) -> Column: ...
+
+
+def prefix_collision(family: Family, sim: Column, depth: int) -> Column:
+    """The chance that the leading `depth` bits of a table's hash agree: whole functions and a part of the next."""
+    whole, rest = divmod(depth, family.bits)
+    p = F.pow(family.collision(sim, family.bits), F.lit(float(whole))) if whole else F.lit(1.0)
+    return p * family.collision(sim, rest) if rest else p
 
 
 def q15(x: np.ndarray) -> np.ndarray:
-    return np.minimum(np.trunc(x * 32768.0), 32767).astype(np.int64)
+    """Whole numbers, kept as doubles: all products and sums here stay below 2 ** 53, so they are exact."""
+    return np.minimum(np.trunc(x * 32768.0), 32767.0)
 
 
 @dataclass(frozen=True)
@@ -48,7 +65,10 @@ class SimHash:
         return np.array([[rng.randint(-SCALE, SCALE) for _ in range(self.dim)] for _ in range(functions)], np.int64)
 
     def apply(self, rows: np.ndarray, params: np.ndarray) -> np.ndarray:
-        return (q15(rows) @ params.T >= 0).astype(np.int64)
+        return (q15(rows) @ params.T.astype(np.float64) >= 0).astype(np.int64)
+
+    def collision(self, sim: Column, bits: int) -> Column:
+        return F.pow(simhash_p(sim), F.lit(float(bits)))
 
 
 @dataclass(frozen=True)
@@ -57,6 +77,8 @@ class CrossPolytope:
 
     dim: int
     seed: int = 2
+    samples: int = 4000
+    eps: float = 5e-3
 
     @property
     def axes(self) -> int:
@@ -72,7 +94,10 @@ class CrossPolytope:
 
     def apply(self, rows: np.ndarray, params: np.ndarray) -> np.ndarray:
         q = q15(rows)
-        return np.stack([_closest(q @ p.T) for p in params], axis=1)
+        return np.stack([_closest(q @ p.T.astype(np.float64)) for p in params], axis=1)
+
+    def collision(self, sim: Column, bits: int) -> Column:
+        return _estimated(self, sim, bits)
 
 
 def _closest(products: np.ndarray) -> np.ndarray:
@@ -97,6 +122,8 @@ class FHTCrossPolytope:
     dim: int
     seed: int = 3
     rotations: int = 3
+    samples: int = 4000
+    eps: float = 5e-3
 
     @property
     def axes(self) -> int:
@@ -111,16 +138,26 @@ class FHTCrossPolytope:
         return np.array([[[rng.choice((-1, 1)) for _ in range(self.axes)] for _ in range(self.rotations)] for _ in range(functions)], np.int64)
 
     def apply(self, rows: np.ndarray, params: np.ndarray) -> np.ndarray:
-        q = np.zeros((len(rows), self.axes), np.int64)
+        q = np.zeros((len(rows), self.axes))
         q[:, : self.dim] = q15(rows)
+        # up to MATRIX axes one matrix product is faster than the butterfly; both are exact
+        whole = hadamard(np.eye(self.axes)) if self.axes <= MATRIX else None
         out = []
         for signs in params:
             y = q
             for s in signs:
-                y = hadamard(y * s)
+                y = hadamard(y * s) if whole is None else (y * s) @ whole
             out.append(_closest(y))
         return np.stack(out, axis=1)
 
+    def collision(self, sim: Column, bits: int) -> Column:
+        return _estimated(self, sim, bits)
+
+
+def _estimated(family: CrossPolytope | FHTCrossPolytope, sim: Column, bits: int) -> Column:
+    table = cross_polytope_estimates(family.dim, family.samples, family.eps)
+    return binned_p(sim, [table[bits, i] for i in range(int(1 / family.eps) + 1)], family.eps)
+
 
 @dataclass(frozen=True)
 class MinHash:
@@ -146,6 +183,9 @@ class MinHash:
                 out[i] = t[((params[:, :1] * t + params[:, 1:]) % PRIME).argmin(axis=1)]
         return out % 2 if self.one_bit else out & ((1 << self.bits) - 1)
 
+    def collision(self, sim: Column, bits: int) -> Column:
+        return minhash_p(sim, self.universe, bits)
+
 
 @dataclass(frozen=True)
 class Independent:
@@ -161,6 +201,10 @@ class Independent:
         per = -(-self.length // bits)
         return np.stack([_joined(codes[:, t * per : (t + 1) * per], bits, self.length) for t in range(self.tables)], axis=1)
 
+    def failure(self, family: Family, sim: Column, depth: int) -> Column:
+        """The chance that a pair of this similarity shares `depth` leading bits in no table."""
+        return F.pow(1 - prefix_collision(family, sim, depth), F.lit(float(self.tables)))
+
 
 @dataclass(frozen=True)
 class Pool:
@@ -182,6 +226,9 @@ class Pool:
     def combine(self, codes: np.ndarray, bits: int) -> np.ndarray:
         return np.stack([_joined(codes[:, c], bits, self.length) for c in self.choices(bits)], axis=1)
 
+    def failure(self, family: Family, sim: Column, depth: int) -> Column:
+        return F.pow(1 - prefix_collision(family, sim, depth), F.lit(float(self.tables)))
+
 
 @dataclass(frozen=True)
 class Tensor:
@@ -217,6 +264,12 @@ class Tensor:
             out.append(h >> (2 * size - self.length))
         return np.stack(out, axis=1)
 
+    def failure(self, family: Family, sim: Column, depth: int) -> Column:
+        """A left and a right half must agree; halves beyond the largest full square are not counted."""
+        n = F.lit(float(math.isqrt(self.tables)))
+        met = [1 - F.pow(1 - prefix_collision(family, sim, bits), n) for bits in ((depth + 1) // 2, depth // 2)]
+        return 1 - met[0] * met[1]
+
 
 def _joined(codes: np.ndarray, bits: int, length: int) -> np.ndarray:
     """Codes one after the other, the first highest, cut to the leading bits."""
@@ -267,17 +320,24 @@ def sketches(df: DataFrame, dim: int, count: int = 16, words: int = 1, seed: int
     return in_batches(df, kernel, "id long, sketch_no int, " + ", ".join(f"w{w} long" for w in range(words)))
 
 
+@lru_cache(maxsize=16)
 def cross_polytope_estimates(dim: int, samples: int = 1000, eps: float = 5e-3, seed: int = 8) -> dict[tuple[int, int], float]:
-    """P(the leading b bits collide) by (b, similarity bin), from sampled pairs; bins are eps wide on [0, 1]."""
+    """P(the leading b bits collide) by (b, similarity bin), from sampled pairs; bins are eps wide on [0, 1].
+
+    By symmetry a pair of a cosine is (g, cos g + sin h) in a random frame. All bins use the same g and h.
+    """
     rng = np.random.default_rng(seed)
     bits = max(0, (dim - 1).bit_length()) + 1
     axes = 1 << (bits - 1)
     out: dict[tuple[int, int], float] = {}
-    for bin_no in range(int(1 / eps) + 1):
-        cos = 2 * min(1.0, bin_no * eps) - 1
-        # by symmetry, in a random frame the pair is (g, cos g + sin h)
-        g, h = rng.normal(size=(2, samples, axes))
-        a, b = _closest(g), _closest(cos * g + math.sqrt(max(0.0, 1 - cos * cos)) * h)
-        for n in range(bits + 1):
-            out[n, bin_no] = float(((a >> (bits - n)) == (b >> (bits - n))).mean())
+    step = max(1, (1 << 22) // axes)  # at most so many pairs at a time
+    sizes = [min(step, samples - at) for at in range(0, samples, step)]
+    for size in sizes:
+        g, h = rng.normal(size=(2, size, axes))
+        a = _closest(g)
+        for bin_no in range(int(1 / eps) + 1):
+            cos = 2 * min(1.0, bin_no * eps) - 1
+            b = _closest(cos * g + math.sqrt(max(0.0, 1 - cos * cos)) * h)
+            for n in range(bits + 1):
+                out[n, bin_no] = out.get((n, bin_no), 0.0) + float(((a >> (bits - n)) == (b >> (bits - n))).sum()) / samples
     return out

@@ -92,9 +92,9 @@ def knn_graph(points: DataFrame, k: int, metric: str = "angular") -> DataFrame:
     return knn(points, points, k, metric, exclude_self=True)
 
 
-def score_pairs(pairs: DataFrame, points: DataFrame, metric: str = "angular") -> DataFrame:
-    """Rows (i, j, sim) for distinct pairs (i, j); vectors are joined on only here."""
-    left, right = points.select(F.col("id").alias("i"), F.col("vec").alias("_vi")), points.select(F.col("id").alias("j"), F.col("vec").alias("_vj"))
+def score_pairs(pairs: DataFrame, points: DataFrame, metric: str = "angular", others: DataFrame | None = None) -> DataFrame:
+    """Rows (i, j, sim) for distinct pairs (i, j); vectors are joined on only here, those of j from others if given."""
+    left, right = points.select(F.col("id").alias("i"), F.col("vec").alias("_vi")), (points if others is None else others).select(F.col("id").alias("j"), F.col("vec").alias("_vj"))
     joined = pairs.select("i", "j").distinct().join(left, "i").join(right, "j").select("i", "j", "_vi", "_vj")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
