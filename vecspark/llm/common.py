@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -17,6 +18,17 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def inside(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
+    """The table under names in0, in1 .. that clash with none of the operators' own, and the wanted columns' new names.
+
+    A name is looked for as it is written, then in any case. Callers give the old names back with toDF.
+    """
+    names = docs.columns
+    low = [n.lower() for n in names]
+    at = [names.index(w) if w in names else low.index(w.lower()) for w in wanted]
+    return docs.toDF(*(f"in{i}" for i in range(len(names)))), [f"in{i}" for i in at]
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, UPPER.lower())
@@ -25,11 +37,15 @@ def ascii_lower(c: Column) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """The checkpoint folder that driver and executors share.
 
-    It is the session's spark.checkpoint.dir. Only where that is unset (tests, one machine) a temporary folder is made.
+    It is the session's spark.checkpoint.dir. Only where that is unset on one machine a temporary folder is made.
     """
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecspark-checkpoint-")
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("a cluster needs a shared folder: set spark.checkpoint.dir")
+            folder = tempfile.mkdtemp(prefix="vecspark-checkpoint-")
         spark.sparkContext.setCheckpointDir(folder)
     return jsc.getCheckpointDir().get()
 
@@ -57,7 +73,7 @@ def components(edges: DataFrame) -> DataFrame:
     """
     maps = []
     left = cut(edges.where("a <> b").select("a", "b").distinct())
-    for rnd in range(200):
+    for rnd in itertools.count():
         if left.isEmpty():
             break
         prio = lambda c: F.xxhash64(F.col(c), F.lit(rnd))

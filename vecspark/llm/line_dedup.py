@@ -1,13 +1,18 @@
 """Line dedup by winnowing over line hashes.
 
-A window is the shortest run of lines from a given line on that has WORDS words, or (mirror window) the shortest such
-run back from a given line. Its least line hash is its fingerprint, which is the same wherever the run stands; so the
-windows of every run of WORDS words that repeats have a fingerprint in common with their first occurrence. Every line of
-such a run lies in the window from the run's first line or in a mirror window within the run, so no match has to be
-extended. Fingerprints (with the hash of their window, which verifies it) are joined with their first position by
-(document, line); the lines of later windows are deleted.
-Everything is SQL functions. A fingerprint's rows are pre-aggregated to one first position before they are joined, on
-a unique side, so a passage that stands in very many documents is never gathered in one task.
+A window is the shortest run of lines from a given line on, or back from a given line, that has WORDS words. Of each
+window the line of least hash is selected: these minima, and no other lines, become fingerprints. Equal windows select
+the same line, so every run of WORDS words that stands twice has a fingerprint in common.
+
+1. Minima are rows: the fingerprint and the extents to both sides (the windows it is the least of, by their hashes).
+2. Fingerprints are counted; what stands once is dropped. Unique text leaves here, with a row for each minimum.
+3. A match of the others is extended both ways as far as one of its windows stands elsewhere too: windows are joined
+   with their first position by (document, line), which also verifies the fingerprint, so a common line in other
+   surroundings never hides a match. Lines of later windows are deleted.
+
+Everything is SQL functions. Counts and first positions are aggregated before they are joined, always on a unique side.
+A hot line or passage makes the large side of such a join skewed; it is not aggregated by that key afterwards, so
+adaptive execution may split it.
 """
 
 from __future__ import annotations
@@ -15,93 +20,125 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, cut, load
+from .common import SPACE_WORD, cut, inside, load
 
 WORDS = 50
+#: Lines that are looked at first; windows of more lines take a second look at WORDS lines.
+FEW = 8
+#: Words (at most 2 * WORDS) and lines of a window in one number, a window's first line and its lines in another.
+STEP, SPAN = 128, 64
 
 
 def _lines(text: Column) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _entries(text: Column) -> Column:
-    """Hash, number of words and number in the text of each line with a word."""
-    hashed = F.transform(_lines(text), lambda s, i: F.struct(F.xxhash64(s).alias("h"), F.regexp_count(s, F.lit(SPACE_WORD)).alias("n"), i.alias("i")))
-    return F.filter(hashed, lambda e: e["n"] > 0)
-
-
-def windows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, at, len, low, whole, lines): a window's first line and number of lines (among lines with words), its
-    fingerprint, the hash of the whole window and the numbers in the text of its lines. Each line has the window that
-    starts at it and the mirror window that ends at it, with hashes of their own. Lines have a word at least, so no
-    slice here is longer than WORDS."""
-    e = F.col("_e")
-
-    def grow(acc: Column, x: Column) -> Column:
-        full = acc["words"] >= WORDS
-        more = F.struct(
-            (acc["words"] + x["n"]).alias("words"),
-            (acc["len"] + 1).alias("len"),
-            F.least(acc["low"], x["h"]).alias("low"),
-            F.xxhash64(acc["whole"], x["h"]).alias("whole"),
-        )
-        return F.when(full, acc).otherwise(more)
-
-    def window(part: Column, start: int) -> Column:
-        zero = F.struct(F.lit(0).alias("words"), F.lit(0).alias("len"), F.lit(2**63 - 1).alias("low"), F.lit(start).cast("long").alias("whole"))
-        return F.aggregate(part, zero, grow)
-
-    def both(i: Column) -> Column:
-        first = F.greatest(i - WORDS, F.lit(0))
-        back = F.reverse(F.slice(e, first + 1, i - first))
-        return F.array(F.struct(i.alias("i"), F.lit(False).alias("mirror"), window(F.slice(e, i, WORDS), 0).alias("w")), F.struct(i.alias("i"), F.lit(True).alias("mirror"), window(back, 1).alias("w")))
-
-    df = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _entries(F.col(text_col)).alias("_e")).where(F.size("_e") > 0)
-    found = F.filter(F.flatten(F.transform(F.sequence(F.lit(1), F.size("_e")), both)), lambda x: x["w"]["words"] >= WORDS)
-    df = df.select("id", "_e", F.explode(found).alias("x"))
-    at = F.when(F.col("x.mirror"), F.col("x.i") - F.col("x.w.len")).otherwise(F.col("x.i") - 1)
-    df = df.select("id", "_e", at.alias("at"), F.col("x.w.len").alias("len"), F.col("x.w.low").alias("low"), F.col("x.w.whole").alias("whole"))
-    return df.withColumn("lines", F.transform(F.slice(e, F.col("at") + 1, F.col("len")), lambda x: x["i"])).drop("_e")
-
-
-def repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, gone): the numbers of the lines of each document that are in a later repeated run."""
-    w = cut(windows(docs, id_col, text_col))
-    shared = w.groupBy("low", "whole").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("low", "whole", "f")
-    found = w.join(shared, ["low", "whole"])
+def _has_word(line: Column) -> Column:
+    return F.regexp_like(line, F.lit(r"[^\x20\x09-\x0D]"))
+
+
+def _grown(part: Column, found) -> Column:
+    """found(n, full): n the lines that are needed for WORDS words, full whether the part has so many words."""
+    add = lambda a, n: F.when(a % STEP >= WORDS, a).otherwise(a + STEP + n)
+    return F.aggregate(part, F.lit(0), add, lambda a: found(F.floor(a / STEP), a % STEP >= WORDS))
+
+
+def _spans(words: Column) -> Column:
+    """All windows as numbers first line * SPAN + lines; words: of each line, at most WORDS."""
+    none = F.lit(-1).cast("long")
+
+    def ahead(i: Column) -> Column:
+        code = lambda n: (i - 1).cast("long") * SPAN + n
+        more = _grown(F.slice(words, i, WORDS), lambda n, full: F.when(full, code(n)).otherwise(none))
+        return _grown(F.slice(words, i, FEW), lambda n, full: F.when(full, code(n)).otherwise(more))
+
+    def back(i: Column) -> Column:
+        code = lambda n: (i - n).cast("long") * SPAN + n
+        part = lambda few: F.reverse(F.slice(words, F.greatest(i - few, F.lit(0)) + 1, F.least(i, F.lit(few))))
+        more = _grown(part(WORDS), lambda n, full: F.when(full, code(n)).otherwise(none))
+        return _grown(part(FEW), lambda n, full: F.when(full, code(n)).otherwise(more))
+
+    at = F.sequence(F.lit(1), F.size(words))
+    found = F.filter(F.array_distinct(F.concat(F.transform(at, ahead), F.transform(at, back))), lambda c: c >= 0)
+    return F.when(F.size(words) > 0, found).otherwise(F.array().cast("array<bigint>"))
+
+
+def minima(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, low, spans): each selected line's hash and its windows (at, len, whole), counted in lines with a word."""
+    hashed = F.transform(_lines(F.col(text_col)), lambda s: F.struct(F.xxhash64(s).alias("h"), F.least(F.regexp_count(s, F.lit(SPACE_WORD)), F.lit(WORDS)).alias("n")))
+    df = docs.where(F.col(id_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.filter(hashed, lambda e: e["n"] > 0).alias("e"))
+    # not e.h and e.n: the optimizer would put these into the lambdas below, once for each line
+    df = df.select("id", F.transform("e", lambda e: e["h"]).alias("hs"), F.transform("e", lambda e: e["n"]).alias("ns"))
+    df = df.select("id", "hs", _spans(F.col("ns")).alias("codes"))
+
+    def window(c: Column) -> Column:
+        at, n = F.floor(c / SPAN).cast("int"), (c % SPAN).cast("int")
+        part = F.slice(F.col("hs"), at + 1, n)
+        low = F.array_min(part)
+        return F.struct((at + F.array_position(part, low)).alias("pos"), at.alias("at"), n.alias("len"), low.alias("low"), F.xxhash64(part).alias("whole"))
+
+    df = df.select("id", F.sort_array(F.transform("codes", window)).alias("w"))
+    w = F.col("w")
+    new = lambda j: (j == 0) | (F.get(w, j - 1)["pos"] != F.get(w, j)["pos"])
+    heads = F.when(F.size(w) > 0, F.filter(F.sequence(F.lit(0), F.size(w) - 1), new)).otherwise(F.array().cast("array<int>"))
+    df = df.select("id", "w", heads.alias("heads"))
+    size = lambda j, k: F.coalesce(F.get(F.col("heads"), k + 1), F.size(w)) - j
+    spans = lambda j, k: F.transform(F.slice(w, j + 1, size(j, k)), lambda x: F.struct(x["at"], x["len"], x["whole"]))
+    return df.select("id", F.explode(F.transform("heads", lambda j, k: F.struct(F.get(w, j)["low"].alias("low"), spans(j, k).alias("spans")))).alias("g")).select("id", "g.low", "g.spans")
+
+
+def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Rows (id, gone): which of each document's lines with a word are in a later repeated run."""
+    prints = cut(minima(docs, id_col, text_col))
+    shared = prints.groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select("low")
+    held = cut(prints.join(shared, "low", "left_semi").select("id", "low", F.explode("spans").alias("x")).select("id", "low", "x.*"))
+    first = held.groupBy("low", "whole").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("low", "whole", "f")
+    found = held.join(first, ["low", "whole"])
     later = found.where((F.col("id") != F.col("f.id")) | (F.col("at") != F.col("f.at")))
     # within one document the first run stays whole
-    skip = F.when(F.col("id") == F.col("f.id"), F.greatest(F.col("f.at") + F.col("len") - F.col("at"), F.lit(0))).otherwise(0)
-    size = F.greatest(F.col("len") - skip, F.lit(0))
-    runs = later.select("id", F.slice("lines", skip + 1, size).alias("run")).where("size(run) > 0")
-    return runs.groupBy("id").agg(F.array_distinct(F.flatten(F.collect_set("run"))).alias("gone"))
+    begin = F.when(F.col("id") == F.col("f.id"), F.greatest(F.col("f.at") + F.col("len"), F.col("at"))).otherwise(F.col("at"))
+    runs = later.select("id", F.struct(begin.alias("lo"), (F.col("at") + F.col("len") - 1).alias("hi")).alias("run")).where("run.lo <= run.hi")
+    gone = F.array_distinct(F.flatten(F.transform(F.collect_set("run"), lambda r: F.sequence(r["lo"], r["hi"]))))
+    return runs.groupBy("id").agg(gone.alias("gone"))
+
+
+def _without(inner: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """The columns, with shortened texts, and removed; the columns' names must not be id, gone, all, kept or removed."""
+    names = inner.columns
+    # the documents are not sorted for this join; a partition's runs are far fewer than its texts
+    df = inner.join(repeats(inner, id_col, text_col).hint("shuffle_hash"), F.col(id_col) == F.col("id"), "left").select(*names, "gone")
+    lines = F.when(F.col("gone").isNotNull(), _lines(F.col(text_col)))
+    numbered = F.filter(F.transform(lines, lambda s, i: F.when(_has_word(s), i).otherwise(-1)), lambda i: i >= 0)
+    df = df.select(*names, "gone", lines.alias("all"), numbered.alias("numbers"))
+    # the second use of numbers keeps the optimizer from putting its expression into the lambda
+    drop = F.when(F.size("numbers") > 0, F.transform("gone", lambda k: F.get(F.col("numbers"), k)))
+    kept = F.array_except(F.sequence(F.lit(0), F.size("all") - 1), drop)
+    text = F.when(F.col("gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("all"), i)), "\n"))
+    removed = F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long")
+    return df.select(*(text.alias(n) if n == text_col else F.col(n) for n in names), removed.alias("removed"))
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents without their later repeated runs of WORDS words or more, and _removed, the number of deleted lines.
 
     Earlier is by id, then line. Null and empty texts and rows with a null id stay as they are. Rows of the same id
-    count as one document and lose the same lines. Documents may become empty; none is dropped.
+    count as one document and lose the same lines. Documents may become empty; none is dropped. Further columns are
+    passed on, whatever their names; an empty table gives an empty one.
     """
-    names = docs.columns
-    runs = repeats(docs, id_col, text_col).withColumnsRenamed({"id": "_of", "gone": "_gone"})
-    # the documents are not sorted for this join; a partition's runs are far fewer than its texts
-    df = docs.join(runs.hint("shuffle_hash"), F.col(id_col) == F.col("_of"), "left").select(*(docs[n] for n in names), "_gone")
-    df = df.withColumn("_all", F.when(F.col("_gone").isNotNull(), _lines(F.col(text_col))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("_all") - 1), F.col("_gone"))
-    text = F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda i: F.get(F.col("_all"), i)), "\n"))
-    removed = F.when(F.col("_gone").isNull(), 0).otherwise(F.size("_gone")).cast("long")
-    return df.select(*(text.alias(n) if n == text_col else F.col(n) for n in names), removed.alias("_removed"))
+    inner, (i, t) = inside(docs, id_col, text_col)
+    return _without(inner, i, t).toDF(*docs.columns, "_removed")
 
 
 def op5_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """doc_id, n_removed (lines) and the sha256 of what is left."""
-    out = dedup(load(spark, sf_dir, "documents"))
+    out = dedup(load(spark, sf_dir, "documents").select("doc_id", "text"))
     return out.select("doc_id", F.col("_removed").alias("n_removed"), F.sha2(F.encode(F.coalesce("text", F.lit("")), "UTF-8"), 256).alias("kept_sha256"))
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pipeline stage: documents without their later repeated runs; n_chars is counted anew."""
     names = docs.columns
-    out = dedup(docs)
-    return out.withColumn("n_chars", F.length("text").cast("long") if "n_chars" in names else F.lit(None)).select(*names)
+    inner, (i, t) = inside(docs, "doc_id", "text")
+    out = _without(inner, i, t)
+    counted = [F.length(t).cast("long").alias(c) if n == "n_chars" else F.col(c) for n, c in zip(names, inner.columns, strict=True)]
+    return out.select(*counted).toDF(*names)

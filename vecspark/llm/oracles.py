@@ -89,3 +89,20 @@ b AS (SELECT *, (CASE WHEN n_words < 50 THEN 1 ELSE 0 END + CASE WHEN 100 * n_re
   + CASE WHEN word_chars > 0 AND n_letters < 0.4 * word_chars THEN 64 ELSE 0 END)::BIGINT AS fail_bits FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (fail_bits & 3) <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
+
+#: Every window by its lines themselves, joined with its first position (doc_id is unique in documents).
+LINE_SQL = r"""
+WITH l AS (SELECT doc_id, unnest(ls) AS line, unnest(range(len(ls))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL)),
+e AS (SELECT doc_id, i, line, n, row_number() OVER (PARTITION BY doc_id ORDER BY i) AS k, sum(n) OVER (PARTITION BY doc_id ORDER BY i) AS c
+  FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l) WHERE n > 0),
+w AS (SELECT a.doc_id, a.k AS lo, min(b.k) AS hi FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k AND a.k + 49 WHERE b.c - a.c + a.n >= 50 GROUP BY 1, 2
+  UNION SELECT a.doc_id, max(b.k) AS lo, a.k AS hi FROM e a JOIN e b ON a.doc_id = b.doc_id AND b.k BETWEEN a.k - 49 AND a.k WHERE a.c - b.c + b.n >= 50 GROUP BY 1, 3),
+docs AS (SELECT doc_id, list(line ORDER BY k) AS es FROM e GROUP BY 1),
+keyed AS (SELECT doc_id, lo, hi, es[lo:hi] AS run FROM w JOIN docs USING (doc_id)),
+firsts AS (SELECT run, min({'id': doc_id, 'lo': lo}) AS f FROM keyed GROUP BY 1 HAVING count(*) > 1),
+later AS (SELECT doc_id, CASE WHEN doc_id = f.id THEN greatest(f.lo + hi - lo + 1, lo) ELSE lo END AS lo, hi FROM keyed JOIN firsts USING (run) WHERE doc_id <> f.id OR lo <> f.lo),
+gone AS (SELECT DISTINCT e.doc_id, e.i FROM e JOIN later ON e.doc_id = later.doc_id AND e.k BETWEEN later.lo AND later.hi),
+n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1),
+kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
+SELECT doc_id, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
