@@ -115,40 +115,84 @@ def test_license_notices_are_found(spark):
 # ---- 2
 
 
-def test_embedding_dedup(spark):
+def embedding_brute(data):
+    """(id, n_links, component_id, kept) by row: all pairs by cosine, components by flooding."""
+    def fine(v):
+        return v is not None and len(v) > 0 and all(x is not None and math.isfinite(x) for x in v) and any(v)
+
+    def cosine(a, b):
+        a, b = ([x / max(map(abs, v)) for x in v] for v in (a, b))
+        return sum(x * y for x, y in zip(a, b, strict=True)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b))
+
+    n = len(data)
+    near = [[j for j in range(n) if j != i and fine(data[i][1]) and fine(data[j][1]) and len(data[i][1]) == len(data[j][1]) and cosine(data[i][1], data[j][1]) >= 0.9] for i in range(n)]
+    out = []
+    for i in range(n):
+        seen, todo = {i}, [i]
+        while todo:
+            for j in near[todo.pop()]:
+                if j not in seen:
+                    seen.add(j)
+                    todo.append(j)
+        least = min((data[j][0] for j in seen if data[j][0] is not None), default=None)
+        out.append((data[i][0], len(near[i]), least, data[i][0] == least))
+    return Counter(out)
+
+
+@pytest.mark.parametrize("kind", ["float", "double"])
+def test_embedding_dedup(spark, kind):
     rng = np.random.default_rng(5)
-    base = rng.normal(size=(120, 16))
+    base = rng.normal(size=(80, 16))
     near = base[:40] + rng.normal(size=(40, 16)) * 0.05
-    x = np.concatenate((base, near, base[:10], base[5:6] * 3))
-    data = [(i, [float(v) for v in r]) for i, r in enumerate(x.astype(np.float32))]
+    x = np.concatenate((base, near, base[:10], base[5:6] * 3)).astype(np.float32)
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
     n = len(data)
-    odd = [(n, None), (n + 1, [0.0] * 16), (n + 2, [float("nan")] + [1.0] * 15), (n + 3, [None] + [1.0] * 15), (n + 4, [float("inf")] + [1.0] * 15)]
-    df = spark.createDataFrame(data + odd, "vec_id long, embedding array<float>").withColumn("label", F.lit(1)).withColumn("weight", F.lit(2))
-    got = {r.vec_id: r for r in embedding_dedup.near_dedup(df).collect()}
-    m = np.array([r for _, r in data])
-    m /= np.linalg.norm(m, axis=1, keepdims=True)
-    true = (m @ m.T >= 0.9) & ~np.eye(n, dtype=bool)
-    links = np.array([got[i].n_links for i in range(n)])
-    assert (links <= true.sum(axis=1)).all() and links.sum() >= 0.9 * true.sum()
-    for i in range(n):
-        assert got[i].kept == (got[i].component_id == i) and got[i].component_id <= i
-    assert all((got[i].n_links, got[i].component_id, got[i].kept) == (0, i, True) for i in range(n, n + 5))
-    assert got[120].component_id == got[0].component_id == 0
+    odd = [None, [0.0] * 16, [float("nan")] + [1.0] * 15, [None] + [1.0] * 15, [float("inf")] + [1.0] * 15, [], [3.0], [5.0], [-2.0]]
+    mixed = [[1, 0], [1, 0.01], [0, 1], [1, 0, 0], [1, 0.01, 0], [1e200, 1e200, 0], [2e200, 2e200, 0], [1e-30, 0]] if kind == "double" else [[1, 0], [1, 0.01], [0, 1], [1, 0, 0], [1, 0.01, 0], [1e30, 1e30, 0], [2e30, 2e30, 0]]
+    data += [(n + i, v if v is None else [None if c is None else float(c) for c in v]) for i, v in enumerate(odd + mixed)]
+    data += [(None, data[0][1]), (None, [0.5, -1.0, 2.0, 7.0]), (3, data[3][1]), (3, data[3][1]), (-9, data[41][1])]
+    data = [(i, v if v is None or kind == "double" else [c if c is None else float(np.float32(c)) for c in v]) for i, v in data]
+    df = spark.createDataFrame(data, f"vec_id long, embedding array<{kind}>").repartition(3).select("*", *(F.lit(1).alias(c) for c in ("label", "w", "node", "id", "vec", "k1", "n")))
+    assert Counter(tuple(r) for r in embedding_dedup.near_dedup(df).collect()) == embedding_brute(data)
     assert embedding_dedup.near_dedup(df.where("false")).count() == 0
 
 
-def test_embedding_recall_at_the_threshold():
+@pytest.mark.parametrize("dim", [16, 64, 768])
+@pytest.mark.parametrize("blocks", [1, 2, 3])
+def test_embedding_recall_at_the_threshold(dim, blocks):
     rng = np.random.default_rng(6)
-    a, r = rng.normal(size=(2, 2000, 64))
-    a /= np.linalg.norm(a, axis=1, keepdims=True)
-    r -= (r * a).sum(axis=1, keepdims=True) * a
-    r /= np.linalg.norm(r, axis=1, keepdims=True)
+    a, r = rng.normal(size=(2, 1000, dim))
+    a = embedding_dedup._unit(a)
+    r = embedding_dedup._unit(r - (r * a).sum(axis=1, keepdims=True) * a)
     b = 0.9 * a + math.sqrt(1 - 0.81) * r
-    ca, cb = embedding_dedup.cells(a), embedding_dedup.cells(b)
-    met = ((ca == cb[:, :, :1]).any(axis=2) | (cb == ca[:, :, :1]).any(axis=2)).any(axis=1)
+    met = np.zeros(len(a), bool)
+    for t in range(embedding_dedup.tables_for(dim, blocks)):
+        met |= embedding_dedup._met(embedding_dedup.table_cells(a, blocks, t), embedding_dedup.table_cells(b, blocks, t))
     assert met.mean() >= 0.9
 
 
+def test_embedding_work_grows_slowly():
+    """The candidates of unrelated vectors: a block more makes them far fewer."""
+    x = embedding_dedup._unit(np.random.default_rng(8).normal(size=(20000, 64)))
+
+    def work(blocks):
+        cells = embedding_dedup.table_cells(x, blocks, 0)
+        own = Counter(cells[:, 0].tolist())
+        return embedding_dedup.tables_for(64, blocks) * sum(own[c] for c in cells.reshape(-1).tolist()) / len(x)
+
+    assert work(2) - embedding_dedup.tables_for(64, 2) < (work(1) - embedding_dedup.tables_for(64, 1)) / 4
+    assert [embedding_dedup.blocks_for(n) for n in (0, 1 << 17, (1 << 17) + 1, 1 << 22, 1 << 30)] == [1, 1, 2, 2, 4]
+
+
+def test_embedding_with_more_blocks(spark, monkeypatch):
+    monkeypatch.setattr(embedding_dedup, "ONE_BLOCK", 4)
+    rng = np.random.default_rng(9)
+    x = rng.normal(size=(60, 16))
+    x = np.concatenate((x, x[:30] + 0.05 * rng.normal(size=(30, 16))))
+    data = [(i, [float(v) for v in r]) for i, r in enumerate(x)]
+    assert Counter(tuple(r) for r in embedding_dedup.near_dedup(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()) == embedding_brute(data)
+
+
 def test_embedding_hot_cells_are_split(spark, monkeypatch):
     monkeypatch.setattr(embedding_dedup, "HOT", 20)
     rng = np.random.default_rng(7)

@@ -1,10 +1,16 @@
 """Embedding near-dedup by lattice hashing.
 
-Each of TABLES tables projects unit vectors to eight dimensions with seeded Gaussians and decodes them to the nearest
-point of the E8 lattice; a vector lies in its own cell and looks into the PROBES neighbouring cells that its residual
-points to. Candidates of a cell are verified by cosine in double precision. Exact copies are collapsed to one vector
-with its count first. A pair is counted only in the first table (and in one cell of it) where it meets, so each cell
-returns counts and a spanning forest of its links, a row for each member at most, never all pairs.
+Each table projects unit vectors to one or more times eight dimensions with seeded Gaussians and decodes each block of
+eight to the nearest point of the E8 lattice; the points together are the vector's own cell. It also looks into the
+PROBES neighbouring cells that its residuals point to most. Candidates of a cell are verified by cosine in double
+precision. Vectors of different lengths never meet.
+
+The number of blocks grows with the logarithm of the rows, so that a cell of unrelated vectors stays small; the number of
+tables follows from it: as many as the recall RECALL at cosine exactly COSINE needs, by simulated pairs of that length.
+
+Exact copies are collapsed to one vector with its count first. A pair is counted only in the first table (and in one cell
+of it) where it meets, so each cell returns counts and a spanning forest of its links, a row for each member at most,
+never all pairs.
 
 Cells above HOT members are split into blocks; each pair of blocks is a task of its own, so that no task holds more
 than 2 * HOT vectors of a cell.
@@ -13,22 +19,30 @@ than 2 * HOT vectors of a cell.
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import components, cut, load, small_or_joined
 
-TABLES = 6
-SCALE = 0.75
+#: Scale of the projections by the number of blocks; the last for all further numbers.
+SCALES = (0.75, 0.5)
 PROBES = 4
 COSINE = 0.9
+RECALL = 0.96
+#: Up to so many rows one block; a block more for each further factor of 2 ** 5.
+ONE_BLOCK = 1 << 17
 SEED = 13
 HOT = 4096
 TILE = 1024
+#: Members of a cell up to which pairs are taken one by one, many cells at a time.
+LITTLE = 32
 
 
 def _roots() -> np.ndarray:
@@ -59,29 +73,69 @@ def decode(x: np.ndarray) -> np.ndarray:
     return np.where((((x - a) ** 2).sum(axis=1) <= ((x - b) ** 2).sum(axis=1))[:, None], a, b)
 
 
-def cells(x: np.ndarray, tables: int = TABLES, scale: float = SCALE, probes: int = PROBES) -> np.ndarray:
-    """Cell numbers (rows, tables, 1 + probes) of unit vectors; the first of each table is the own cell."""
-    rng = np.random.default_rng([SEED, x.shape[1]])
-    mixer = np.random.default_rng(SEED + 1).integers(1, 1 << 62, 9, dtype=np.int64) | 1
-    shifts = _roots()
-    out = np.empty((len(x), tables, 1 + probes), np.int64)
-    for t in range(tables):
-        y = x @ (rng.normal(size=(x.shape[1], 8)) * scale)
-        own = decode(y)
-        gain = (y - own) @ shifts.T
-        near = np.argsort(-gain, axis=1, kind="stable")[:, :probes]
-        points = np.concatenate((own[:, None, :], own[:, None, :] + shifts[near]), axis=1)
-        with np.errstate(over="ignore"):
-            h = (np.rint(points * 2).astype(np.int64) * mixer[:8]).sum(axis=2) + (t + 1) * mixer[8]
-            h ^= h >> 29
-            h *= mixer[3]
-            out[:, t] = h ^ (h >> 32)
-    return out
+def blocks_for(n: int) -> int:
+    """Blocks of eight dimensions for so many vectors."""
+    return 1 + max(0, math.ceil((math.log2(max(n, 1)) - math.log2(ONE_BLOCK)) / 5))
+
+
+@lru_cache(maxsize=256)
+def _projection(dim: int, blocks: int, table: int) -> np.ndarray:
+    scale = SCALES[min(blocks, len(SCALES)) - 1]
+    return np.random.default_rng([SEED, dim, blocks, table]).normal(size=(dim, 8 * blocks)) * scale
 
 
-def _matrix(column: pa.Array, dim: int) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    return flat.reshape(-1, dim)
+_SHIFTS = _roots()
+_MIXER = np.random.default_rng(SEED + 1).integers(1, 1 << 62, 64, dtype=np.int64) | 1
+
+
+def table_cells(x: np.ndarray, blocks: int, table: int) -> np.ndarray:
+    """Cell numbers (rows, 1 + PROBES) of unit vectors in one table; the first is the own cell."""
+    n = len(x)
+    y = (x @ _projection(x.shape[1], blocks, table)).reshape(n * blocks, 8)
+    own = decode(y)
+    gain = (y - own) @ _SHIFTS.T
+    near = np.argsort(-gain, axis=1, kind="stable")[:, :PROBES]
+    gains = np.take_along_axis(gain, near, axis=1).reshape(n, blocks * PROBES)
+    with np.errstate(over="ignore"):
+        # a cell's number is a sum over its coordinates, so that a probe only adds its shift's part
+        weights = np.stack([_MIXER[:8] * _MIXER[8 + b % 48] + b for b in range(blocks)])
+        points = np.rint(own * 2).astype(np.int64).reshape(n, blocks, 8)
+        home = (points * weights).sum(axis=(1, 2)) + (table + 1) * _MIXER[60] + x.shape[1] * _MIXER[61]
+        shift = np.rint(_SHIFTS * 2).astype(np.int64) @ weights.T  # (240, blocks)
+        moves = np.take_along_axis(shift.T[None, :, :], near.reshape(n, blocks, PROBES), axis=2).reshape(n, blocks * PROBES)
+        best = np.argsort(-gains, axis=1, kind="stable")[:, :PROBES]
+        h = np.concatenate((home[:, None], home[:, None] + np.take_along_axis(moves, best, axis=1)), axis=1)
+        h ^= h >> 29
+        h *= _MIXER[62]
+        return h ^ (h >> 32)
+
+
+@lru_cache(maxsize=256)
+def tables_for(dim: int, blocks: int) -> int:
+    """Tables after which a pair at cosine exactly COSINE has met with probability RECALL, by simulated pairs."""
+    rng = np.random.default_rng([SEED + 2, dim])
+    a, r = rng.normal(size=(2, 2000, dim))
+    a = _unit(a)
+    if dim > 1:
+        r = _unit(r - (r * a).sum(axis=1, keepdims=True) * a)
+    b = a if dim == 1 else COSINE * a + math.sqrt(1 - COSINE**2) * r
+    open_ = np.ones(len(a), bool)
+    for t in itertools.count():
+        ca, cb = table_cells(a, blocks, t), table_cells(b, blocks, t)
+        open_ &= ~_met(ca, cb)
+        if open_.mean() <= 1 - RECALL:
+            return t + 1
+
+
+def _met(ca: np.ndarray, cb: np.ndarray) -> np.ndarray:
+    """Whether rows of cells meet in a table: one looks into the other's own cell."""
+    return (ca == cb[:, :1]).any(axis=1) | (cb == ca[:, :1]).any(axis=1)
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    """Rows of length 1; scaled by their largest component first, so that no square overflows."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def _valid(v: Column) -> Column:
@@ -90,91 +144,134 @@ def _valid(v: Column) -> Column:
     return v.isNotNull() & F.coalesce(fine & F.exists(v, lambda x: x != 0), F.lit(False))
 
 
-def _pairs(x: np.ndarray, own: np.ndarray, look: np.ndarray, home: np.ndarray, ids: np.ndarray, table: int, block: np.ndarray | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Row pairs of one cell that are similar and meet here first. own: cells by table, look: with probed ones, home: whether the cell is the row's own."""
-    n = len(x)
-    for i in range(0, n, TILE):
-        if not home[i : i + TILE].any() and not home[i:].any():
-            continue
-        for j in range(i, n, TILE):
-            a, b = np.nonzero(x[i : i + TILE] @ x[j : j + TILE].T >= COSINE)
-            a, b = a + i, b + j
-            keep = (a < b) & (home[a] | home[b])
-            if block is not None:
-                keep &= block[a] != block[b]
-            a, b = a[keep], b[keep]
-            if not len(a):
-                continue
-            for t in range(table):  # met in an earlier table
-                fresh = ~((look[a, t] == own[b, t][:, None]).any(axis=1) | (look[b, t] == own[a, t][:, None]).any(axis=1))
-                a, b = a[fresh], b[fresh]
-            # one probes the other's cell: of both ways, the smaller id's own cell counts
-            small, large = np.where(ids[a] < ids[b], a, b), np.where(ids[a] < ids[b], b, a)
-            seen = (look[large, table] == own[small, table][:, None]).any(axis=1)
-            ok = np.where(home[a] & home[b], True, np.where(home[small], True, ~seen))
-            yield a[ok], b[ok]
+def _close(x: np.ndarray, start: np.ndarray, end: np.ndarray, allowed) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Row pairs a < b of the same cell (rows start .. end - 1) that are similar and allowed(a, b)."""
+    size = end - start
+    little = size <= LITTLE
+    live = np.nonzero(little & (np.arange(len(x)) + 1 < end))[0]
+    lag = 1
+    while len(live):
+        for at in range(0, len(live), 1 << 15):
+            a = live[at : at + (1 << 15)]
+            a = a[allowed(a, a + lag)]
+            hit = a[np.einsum("ij,ij->i", x[a], x[a + lag]) >= COSINE]
+            if len(hit):
+                yield hit, hit + lag
+        lag += 1
+        live = live[live + lag < end[live]]
+    for lo in np.unique(start[~little]):
+        hi = end[lo]
+        for i in range(lo, hi, TILE):
+            for j in range(i, hi, TILE):
+                a, b = np.nonzero(x[i : min(i + TILE, hi)] @ x[j : min(j + TILE, hi)].T >= COSINE)
+                a, b = a + i, b + j
+                keep = (a < b) & allowed(a, b)
+                if keep.any():
+                    yield a[keep], b[keep]
+
+
+def _join(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Gives the rows of each pair, and all that had their labels, one label."""
+    while True:
+        ra, rb = label[a], label[b]
+        differ = ra != rb
+        if not differ.any():
+            return
+        np.minimum.at(label, np.maximum(ra, rb)[differ], np.minimum(ra, rb)[differ])
+        while (label[label] != label).any():
+            label[:] = label[label]
 
 
-def links(vectors: DataFrame, dim: int) -> DataFrame:
-    """Rows (node, n, other) for distinct vectors (id, vec, weight): n weighs the links first met in a cell; other is a linked node or null."""
-    spark = vectors.sparkSession
-    width = TABLES * (1 + PROBES)
+def _cell_links(x: np.ndarray, key: np.ndarray, home: np.ndarray, node: np.ndarray, w: np.ndarray, blk: np.ndarray, blocks: int) -> pa.RecordBatch | None:
+    """(node, n, other) of whole cells; key: (cell, t, lo, hi) by row, rows of a cell stand together."""
+    n = len(x)
+    new = np.concatenate(([True], (key[:, 1:] != key[:, :-1]).any(axis=0)))
+    first = np.nonzero(new)[0]
+    which = np.cumsum(new) - 1
+    start, end = first[which], np.concatenate((first[1:], [n]))[which]
+    table, cross = key[1], key[2] != key[3]
+    allowed = lambda a, b: (home[a] | home[b]) & ~(cross[a] & (blk[a] == blk[b]))
+    found = list(_close(x, start, end, allowed))
+    if not found:
+        return None
+    a, b = (np.concatenate([f[i] for f in found]) for i in (0, 1))
+    # cells of all tables are only computed for rows that have a link
+    rows, place = np.unique(np.concatenate((a, b)), return_inverse=True)
+    pa_, pb_ = place[: len(a)], place[len(a) :]
+    t = table[a]
+    small_a = node[a] < node[b]
+    ok = np.ones(len(a), bool)
+    for no in range(int(t.max()) + 1):
+        c = table_cells(x[rows], blocks, no)
+        late = t > no  # met in an earlier table
+        ok[late] &= ~_met(c[pa_[late]], c[pb_[late]])
+        # if one looks into the other's cell, of both ways the smaller node's own cell counts
+        now = np.nonzero((t == no) & ~(home[a] & home[b]))[0]
+        small, large = np.where(small_a[now], pa_[now], pb_[now]), np.where(small_a[now], pb_[now], pa_[now])
+        at_small = np.where(small_a[now], home[a[now]], home[b[now]])
+        ok[now] &= at_small | ~(c[large] == c[small][:, :1]).any(axis=1)
+    a, b = a[ok], b[ok]
+    if not len(a):
+        return None
+    count, label = np.zeros(n, np.int64), np.arange(n)
+    np.add.at(count, a, w[b])
+    np.add.at(count, b, w[a])
+    _join(label, a, b)
+    hit = np.nonzero(count)[0]
+    return pa.RecordBatch.from_arrays([pa.array(node[hit]), pa.array(count[hit]), pa.array(node[label[hit]])], names=["node", "n", "other"])
+
+
+def links(vectors: DataFrame, n: int) -> DataFrame:
+    """Rows (node, n, other) for n distinct vectors (node, vec, w): n weighs the links first met in a cell; other is a linked node.
+
+    Components travel as they are stored, 4 or 8 bytes each.
+    """
+    spark, blocks = vectors.sparkSession, blocks_for(n)
+    kind = np.dtype("<f4" if vectors.schema["vec"].dataType.elementType.simpleString() == "float" else "<f8")
 
     def emit(with_vector: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                for at in range(0, b.num_rows, 2048):
-                    part = b.slice(at, 2048)
-                    x = _matrix(part.column(1), dim)
-                    x /= np.linalg.norm(x, axis=1, keepdims=True)
-                    c = cells(x)
-                    rows = pa.array(np.repeat(np.arange(len(x)), width))
-                    cell = pa.array(c.reshape(-1))
-                    table = pa.array(np.tile(np.repeat(np.arange(TABLES, dtype=np.int32), 1 + PROBES), len(x)))
-                    home = pa.array(np.tile(np.arange(width) % (1 + PROBES) == 0, len(x)))
-                    if not with_vector:
-                        yield pa.RecordBatch.from_arrays([cell], names=["cell"])
-                        continue
-                    raw = pa.array([v.tobytes() for v in x], pa.binary())
-                    yield pa.RecordBatch.from_arrays([cell, table, home, part.column(0).take(rows), part.column(2).take(rows), raw.take(rows)], names=["cell", "t", "home", "id", "w", "vec"])
+            for batch in batches:
+                sizes = np.diff(batch.column(1).offsets.to_numpy())
+                for dim in np.unique(sizes).tolist():
+                    same = batch.take(pa.array(np.nonzero(sizes == dim)[0]))
+                    tables = tables_for(dim, blocks)
+                    for at in range(0, same.num_rows, 2048):
+                        part = same.slice(at, 2048)
+                        raw = part.column(1).flatten().to_numpy(zero_copy_only=False).astype(kind).reshape(-1, dim)
+                        x = _unit(raw.astype(np.float64))
+                        held = pa.array([v.tobytes() for v in raw], pa.binary()) if with_vector else None
+                        rows = pa.array(np.repeat(np.arange(len(x)), 1 + PROBES))
+                        for t in range(tables):
+                            cell = pa.array(table_cells(x, blocks, t).reshape(-1))
+                            if not with_vector:
+                                yield pa.RecordBatch.from_arrays([cell], names=["cell"])
+                                continue
+                            home = pa.array(np.tile(np.arange(1 + PROBES) == 0, len(x)))
+                            yield pa.RecordBatch.from_arrays([cell, pa.array(np.full(len(cell), t, np.int32)), home, part.column(0).take(rows), part.column(2).take(rows), held.take(rows)], names=["cell", "t", "home", "node", "w", "vec"])
 
         return run
 
-    sizes = vectors.select("id", "vec", "weight").mapInArrow(emit(False), "cell long").groupBy("cell").count()
+    given = vectors.select("node", "vec", "w")
+    sizes = given.mapInArrow(emit(False), "cell long").groupBy("cell").count()
     hot = cut(sizes.where(F.col("count") > HOT).select("cell", F.ceil(F.col("count") / HOT).cast("int").alias("nb")))
-    rows = vectors.select("id", "vec", "weight").mapInArrow(emit(True), "cell long, t int, home boolean, id long, w long, vec binary")
-    rows = small_or_joined(rows, hot, ["cell"], "left").withColumn("blk", F.when(F.col("nb").isNull(), 0).otherwise(F.pmod(F.xxhash64("id"), F.col("nb"))).cast("int"))
+    rows = given.mapInArrow(emit(True), "cell long, t int, home boolean, node long, w long, vec binary")
+    rows = small_or_joined(rows, hot, ["cell"], "left").withColumn("blk", F.when(F.col("nb").isNull(), 0).otherwise(F.pmod(F.xxhash64("node"), F.col("nb"))).cast("int"))
     others = F.transform(F.sequence(F.lit(0), F.coalesce("nb", F.lit(1)) - 1), lambda o: F.struct(F.least(o, F.col("blk")).alias("lo"), F.greatest(o, F.col("blk")).alias("hi")))
-    rows = rows.withColumn("_o", F.explode(others)).select("cell", "t", F.col("_o.lo").alias("lo"), F.col("_o.hi").alias("hi"), "blk", "home", "id", "w", "vec")
+    rows = rows.withColumn("o", F.explode(others)).select("cell", "t", F.col("o.lo").alias("lo"), F.col("o.hi").alias("hi"), "blk", "home", "node", "w", "vec")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = rows.repartition(parts, "cell", "t", "lo", "hi").sortWithinPartitions("cell", "t", "lo", "hi", "id")
-    group = ["cell", "t", "lo", "hi"]
-
-    def one(part: pa.Table) -> Iterator[pa.RecordBatch]:
-        home = part.column("home").to_numpy()
-        if part.num_rows < 2 or not home.any():
-            return
-        x = np.frombuffer(b"".join(part.column("vec").to_pylist()), np.float64).reshape(-1, dim)
-        ids, w = part.column("id").to_numpy(), part.column("w").to_numpy()
-        c = cells(x)
-        cross = part.column("lo")[0].as_py() != part.column("hi")[0].as_py()
-        table = part.column("t")[0].as_py()
-        n = np.zeros(len(x), np.int64)
-        label = np.arange(len(x))
-        for a, b in _pairs(x, c[:, :, 0], c, home, ids, table, part.column("blk").to_numpy() if cross else None):
-            np.add.at(n, a, w[b])
-            np.add.at(n, b, w[a])
-            while len(a):  # union of this tile's links into the labels
-                ra, rb = label[a], label[b]
-                open_ = ra != rb
-                if not open_.any():
-                    break
-                np.minimum.at(label, np.maximum(ra, rb)[open_], np.minimum(ra, rb)[open_])
-                while (label[label] != label).any():
-                    label = label[label]
-        hit = np.nonzero(n)[0]
-        if len(hit):
-            yield pa.RecordBatch.from_arrays([pa.array(ids[hit]), pa.array(n[hit]), pa.array(ids[label[hit]])], names=["node", "n", "other"])
+    dealt = rows.repartition(parts, "cell", "t", "lo", "hi").sortWithinPartitions("cell", "t", "lo", "hi", "node")
+
+    def whole(part: pa.Table) -> Iterator[pa.RecordBatch]:
+        """Links of whole cells; cells of vectors of different lengths have different numbers, but may follow each other."""
+        lengths = pa.compute.binary_length(part.column("vec")).to_numpy()
+        for size in np.unique(lengths):
+            same = part.filter(pa.array(lengths == size)) if (lengths != size).any() else part
+            raw = np.frombuffer(b"".join(same.column("vec").to_pylist()), kind).reshape(same.num_rows, -1)
+            key = np.array([same.column(k).to_numpy().astype(np.int64) for k in ("cell", "t", "lo", "hi")])
+            out = _cell_links(_unit(raw.astype(np.float64)), key, *(same.column(k).to_numpy() for k in ("home", "node", "w", "blk")), blocks)
+            if out is not None:
+                yield out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rest: pa.Table | None = None
@@ -183,14 +280,14 @@ def links(vectors: DataFrame, dim: int) -> DataFrame:
             held = pa.concat_tables([rest, held]).combine_chunks() if rest is not None else held
             if not held.num_rows:
                 continue
-            keys = np.array([held.column(k).to_numpy() for k in group])
-            starts = np.concatenate(([0], np.nonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0))[0] + 1))
-            for lo, hi in zip(starts, starts[1:], strict=False):
-                if hi - lo > 1:
-                    yield from one(held.slice(lo, hi - lo))
-            rest = held.slice(starts[-1])
+            keys = np.array([held.column(k).to_numpy().astype(np.int64) for k in ("cell", "t", "lo", "hi")])
+            last = np.nonzero((keys != keys[:, -1:]).any(axis=0))[0]  # the last cell may go on in the next batch
+            stop = int(last[-1]) + 1 if len(last) else 0
+            if stop:
+                yield from whole(held.slice(0, stop))
+            rest = held.slice(stop)
         if rest is not None:
-            yield from one(rest)
+            yield from whole(rest)
 
     return dealt.mapInArrow(run, "node long, n long, other long")
 
@@ -198,29 +295,29 @@ def links(vectors: DataFrame, dim: int) -> DataFrame:
 def near_dedup(table: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding") -> DataFrame:
     """One row for each input row: id, n_links, component_id, kept.
 
-    Vectors that are null, zero, or hold null or non-finite components have no links and are components of their own,
-    as are rows with a null id or of a length other than the commonest (smallest of equals). Repeated rows are linked
-    with each other like any copies.
+    Vectors that are null, zero, or hold null or non-finite components have no links and are components of their own;
+    so have vectors no links with those of another length. Repeated rows are linked with each other like any copies,
+    also if they have the same id. Rows with a null id take part; a component of such rows alone has a null
+    component_id, and they are kept. Further columns are ignored; an empty table gives an empty one.
     """
-    rows = table.select(F.col(id_col).alias("id"), F.col(vec_col).cast("array<double>").alias("vec"))
-    lone = rows.select("id").select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    fine = rows.where(_valid(F.col("vec")) & F.col("id").isNotNull())
-    lengths = fine.groupBy(F.size("vec").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not lengths:
-        return lone
-    dim = lengths[0]["d"]
-    usable = _valid(F.col("vec")) & F.col("id").isNotNull() & (F.size("vec") == dim)
-    same = cut(fine.where(F.size("vec") == dim).withColumn("key", F.sha2(F.concat_ws(",", F.col("vec").cast("array<string>")), 256)).select("id", "key", "vec"))
-    distinct = cut(same.groupBy("key").agg(F.min("id").alias("id"), F.count("*").alias("weight"), F.min("vec").alias("vec")))
-    found = cut(links(distinct, dim))
+    kind = "float" if table.schema[vec_col].dataType.simpleString() == "array<float>" else "double"
+    rows = table.select(F.col(id_col).alias("id"), F.col(vec_col).cast(f"array<{kind}>").alias("vec"))
+    good = F.coalesce(_valid(F.col("vec")), F.lit(False))
+    # two hashes of 64 bits stand for a vector
+    same = rows.where(good).select("id", "vec", F.xxhash64("vec").alias("k1"), F.xxhash64(F.lit(SEED), "vec").alias("k2"))
+    # numbers are given once: the checkpoint fixes them
+    distinct = cut(same.groupBy("k1", "k2").agg(F.min("id").alias("id"), F.count("*").alias("w"), F.min("vec").alias("vec")).withColumn("node", F.monotonically_increasing_id()))
+    n = distinct.count()
+    found = cut(links(distinct, n))
     counted = found.groupBy("node").agg(F.sum("n").alias("n"))
     roots = components(found.select(F.col("node").alias("a"), F.col("other").alias("b")))
-    rooted = cut(distinct.select("key", "id", "weight").join(counted, F.col("id") == counted.node, "left").drop("node").join(roots, F.col("id") == roots.node, "left").select("key", "id", (F.coalesce("n", F.lit(0)) + F.col("weight") - 1).alias("n_links"), F.coalesce("root", "id").alias("root")))
+    linked = (F.coalesce("n", F.lit(0)) + F.col("w") - 1).alias("n_links")
+    rooted = cut(distinct.drop("vec").join(counted, "node", "left").join(roots, "node", "left").select("k1", "k2", "id", linked, F.coalesce("root", "node").alias("root")))
     least = rooted.groupBy("root").agg(F.min("id").alias("component_id"))
-    named = rooted.join(least, "root").select("key", "n_links", "component_id")
-    good = same.select("id", "key").join(named, "key").select(F.col("id").alias(id_col), "n_links", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))
-    bad = rows.where(~F.coalesce(usable, F.lit(False))).select(F.col("id").alias(id_col), F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
-    return good.unionByName(bad)
+    named = rooted.join(least, "root").select("k1", "k2", "n_links", "component_id")
+    judged = same.select("id", "k1", "k2").join(named, ["k1", "k2"]).select("id", "n_links", "component_id", F.col("id").eqNullSafe(F.col("component_id")).alias("kept"))
+    lone = rows.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(True).alias("kept"))
+    return judged.unionByName(lone).withColumnRenamed("id", id_col)
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
