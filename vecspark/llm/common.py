@@ -29,6 +29,25 @@ def inside(docs: DataFrame, *wanted: str) -> tuple[DataFrame, list[str]]:
     return docs.toDF(*(f"in{i}" for i in range(len(names)))), [f"in{i}" for i in at]
 
 
+def hex_number(digest: Column, at: int, digits: int) -> Column:
+    """The number that some of a digest's hex digits give, as a bigint (at most 15 digits, from 1)."""
+    return F.conv(F.substring(digest, at, digits), 16, 10).cast("long")
+
+
+def row_keys(inner: DataFrame) -> DataFrame:
+    """Adds k1 and k2, two hashes of all columns, as the key of a row. Exact repeats of a row have the same."""
+    return inner.select("*", F.xxhash64(*inner.columns).alias("k1"), F.xxhash64(F.lit(1), *inner.columns).alias("k2"))
+
+
+def without_repeats(keyed: DataFrame, keys: DataFrame) -> DataFrame:
+    """One row for each key (k1, k2); keys: the same rows' keys, checkpointed. Only rows with repeats are aggregated."""
+    again = cut(keys.groupBy("k1", "k2").agg(F.count("*").alias("n")).where("n > 1").select("k1", "k2"))
+    if again.isEmpty():
+        return keyed
+    once = small_or_joined(keyed, again, ["k1", "k2"], "left_anti")
+    return once.unionByName(small_or_joined(keyed, again, ["k1", "k2"], "left_semi").dropDuplicates(["k1", "k2"]))
+
+
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z only."""
     return F.translate(c, UPPER, UPPER.lower())

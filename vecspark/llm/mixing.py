@@ -1,9 +1,13 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
 Targets share all words by weight; none is above CAP times its source's words, the excess is reshared. Equal-token
-blocks are dealt to sources by highest quotients, then to the shards of each source, which gives integer quotas of
-blocks a shard. In a shard the documents stand in seeded order; a quota of whole shards is taken as passes, the rest
-as blocks in seeded order. Driver-side tables have a row for each source, or SHARDS rows for each source.
+blocks are dealt to sources by highest quotients. A source's take is whole passes over it and a rest of blocks; the
+blocks' quota of each shard is its share of that rest, rounded along the shards' running sums. In a shard the documents
+stand in seeded order, and its quota of blocks is chosen in a seeded rotation.
+
+A shard is a hashed part of a source of about SHARD_ROWS rows, so shards grow in number with the rows and not in size.
+The plan is made on keys and sizes alone; texts are joined to it once. The driver holds two numbers for each source, not
+their names and never rows of documents.
 """
 
 from __future__ import annotations
@@ -15,14 +19,15 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, cut, load
+from .common import BROADCAST_ROWS, SPACE_WORD, cut, hex_number, inside, load, row_keys, without_repeats
 
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 BLOCK = 64
-SHARDS = 128
+SHARD_ROWS = 1 << 16
 SEED = 11
-KEYS = ("_id", "_source", "_size", "_shard", "_order", "_crc")
+#: Stride of the seeded rotation of a shard's blocks: a prime; a count that it divides falls back to 1.
+STRIDE = 1_000_003
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], cap: float = CAP) -> list[float]:
@@ -65,83 +70,75 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(SPACE_WORD)), F.lit(0)).cast("long")
 
 
-def _sized(docs: DataFrame, id_col: str, source_col: str, text_col: str) -> DataFrame:
-    """The documents with their keys and sizes; names of the table's own columns may not start with an underscore here."""
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))
-    body = F.coalesce(F.col(text_col), F.lit(""))
-    crc = F.crc32(F.encode(body, "UTF-8"))
-    shard = F.pmod(F.xxhash64(key, F.lit(SEED)), F.lit(SHARDS)).cast("int")
-    return docs.select("*", F.col(id_col).alias("_id"), F.col(source_col).alias("_source"), n_words(F.col(text_col)).alias("_size"), shard.alias("_shard"), F.xxhash64(key, F.lit(SEED + 1)).alias("_order"), crc.alias("_crc"))
-
+def sized(docs: DataFrame, id_col: str, source_col: str, text_col: str, *more: Column) -> DataFrame:
+    """Rows (id, source, size, seeded, order, crc, *more): what the plan needs of the documents."""
+    digest = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    crc = F.crc32(F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8"))
+    return docs.select(F.col(id_col).alias("id"), F.col(source_col).cast("string").alias("source"), n_words(F.col(text_col)).alias("size"), hex_number(digest, 1, 8).alias("seeded"), hex_number(digest, 9, 15).alias("order"), crc.alias("crc"), *more)
 
-def quotas(sized: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
-    """Each shard's source_size, target, passes (whole takes), n_blocks and quota (blocks of the further take).
 
-    The driver holds SHARDS rows for each source, never rows of documents.
-    """
-    spark = sized.sparkSession
-    rows = sized.groupBy("_source", "_shard").agg(F.sum("_size").alias("n")).collect()
-    by: dict[str | None, dict[int, int]] = {}
-    for r in rows:
-        by.setdefault(r["_source"], {})[r["_shard"]] = r["n"]
-    names = sorted((s for s in by if s is not None)) + [None] * (None in by)  # by code point
-    sizes = [sum(by[s].values()) for s in names]
-    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(names))])
-    dealt = sainte_lague(round(sum(sizes) / BLOCK), goal, [math.floor(CAP * s / BLOCK) + 1 for s in sizes])
+def quotas(rows: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
+    """(source, n_shards, source_size, target, passes, rest): how often each source is taken, and what share of it once more."""
+    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("n"))
+    per = cut(per.withColumn("no", F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last()))))
+    sizes = [r["source_size"] for r in per.select("no", "source_size").orderBy("no").collect()]
+    goal = targets(sizes, [weights[i % len(weights)] for i in range(len(sizes))])
+    dealt = sainte_lague(math.floor(sum(sizes) / BLOCK + 0.5), goal, [math.floor(CAP * s / BLOCK) + 1 for s in sizes])
     out = []
-    for name, size, target, q in zip(names, sizes, goal, dealt, strict=True):
-        take = min(q * BLOCK, CAP * size)
-        if abs(target - CAP * size) < BLOCK:
-            take = CAP * size  # at the cap: whole passes, not a block less
+    for no, (size, target, q) in enumerate(zip(sizes, goal, dealt, strict=True), 1):
+        # at the cap: whole passes, not a block less
+        take = CAP * size if abs(target - CAP * size) < BLOCK else min(q * BLOCK, CAP * size)
         passes, rest = divmod(take, size) if size else (0, 0)
-        shards = sorted(by[name].items())
-        blocks = [max(1, round(n / BLOCK)) if n else 0 for _, n in shards]
-        won = sainte_lague(round(rest / size * sum(blocks)) if size else 0, [float(b) for b in blocks], blocks)
-        out += [(name, sh, size, target, passes, b, w, n) for (sh, n), b, w in zip(shards, blocks, won, strict=True)]
-    return spark.createDataFrame(out, "_source string, _shard int, _source_size long, _target double, _passes long, _blocks long, _quota long, _words long")
-
-
-def _chosen(block: Column, blocks: Column, quota: Column) -> Column:
-    """Whether a block of the shard is taken: its place in a seeded rotation with a stride prime to the count is below the quota."""
-    stride = F.lit(1_000_003)  # prime; a count that it divides falls back to 1
-    step = F.when(blocks % stride == 0, F.lit(1)).otherwise(stride)
-    return F.pmod(block * step + F.pmod(F.xxhash64(blocks, F.lit(SEED + 2)), blocks), blocks) < quota
-
-
-def plan(sized: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
-    """Adds _source_size, _target, _passes and _spans (word ranges of the further take) to documents with keys and sizes."""
-    q = quotas(sized, weights)
-    lanes = Window.partitionBy("_source", "_shard").orderBy("_order", "_id", "_crc").rowsBetween(Window.unboundedPreceding, -1)
-    at = sized.withColumn("_from", F.coalesce(F.sum("_size").over(lanes), F.lit(0)))
-    side = q.withColumnsRenamed({"_source": "_s", "_shard": "_h"})
-    n = q.count()
-    side = F.broadcast(side) if n <= 50_000 else side
-    at = at.join(side, F.col("_source").eqNullSafe(F.col("_s")) & (F.col("_shard") == F.col("_h")))
+        out.append((no, target, passes, rest / size if size else 0.0))
+    side = rows.sparkSession.createDataFrame(out, "no int, target double, passes long, rest double")
+    n_shards = F.ceil(F.col("n") / SHARD_ROWS).cast("long").alias("n_shards")
+    return per.join(side, "no").select("source", n_shards, "source_size", "target", "passes", "rest")
+
+
+def _on_source(left: DataFrame, right: DataFrame, n: int, *on: str) -> DataFrame:
+    """Joins by source (null is one too) and more columns; right is broadcast if it has few rows."""
+    side = right.withColumnsRenamed({c: f"_{c}" for c in ("source", *on)})
+    how = F.col("source").eqNullSafe(F.col("_source"))
+    for c in on:
+        how = how & (F.col(c) == F.col(f"_{c}"))
+    return left.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, how).drop("_source", *(f"_{c}" for c in on))
+
+
+def plan(rows: DataFrame, weights: Sequence[float] = WEIGHTS) -> DataFrame:
+    """Adds source_size, target, passes and spans (word ranges of the further take) to checkpointed keys and sizes."""
+    q = cut(quotas(rows, weights))
+    placed = _on_source(rows, q, q.count()).withColumn("shard", F.col("seeded") % F.col("n_shards"))
+    words = placed.groupBy("source", "shard", "rest").agg(F.sum("size").alias("words"))
+    blocks = F.when(F.col("words") > 0, F.greatest(F.floor(F.col("words") / BLOCK + 0.5), F.lit(1))).otherwise(0)
+    upto = Window.partitionBy("source").orderBy("shard")  # a row for each shard of a source
+    running = lambda n: F.floor(n * F.col("rest") + 0.5)
+    shards = words.withColumn("blocks", blocks).withColumn("sum", F.sum("blocks").over(upto))
+    shards = cut(shards.select("source", "shard", "words", "blocks", (running(F.col("sum")) - running(F.col("sum") - F.col("blocks"))).alias("quota")))
+    here = Window.partitionBy("source", "shard").orderBy("order", "id", "crc").rowsBetween(Window.unboundedPreceding, -1)
+    at = placed.withColumn("from", F.coalesce(F.sum("size").over(here), F.lit(0)))
+    at = _on_source(at, shards, shards.count(), "shard")
+    n, lo = F.col("blocks"), F.col("from")
+    hi = lo + F.col("size")
     # block b holds the shard's words from floor(b * words / blocks) on
-    edge = lambda b: F.floor(b * F.col("_words") / F.col("_blocks"))
-    upto = F.col("_from") + F.col("_size")
-    first = F.floor(F.col("_from") * F.col("_blocks") / F.col("_words"))
-    last = F.least(F.floor(upto * F.col("_blocks") / F.col("_words")) + 1, F.col("_blocks"))
-    numbers = F.sequence(F.greatest(first - 1, F.lit(0)), last)
-    taken = F.filter(numbers, lambda b: (b < F.col("_blocks")) & _chosen(b, F.col("_blocks"), F.col("_quota")))
-    spans = F.transform(taken, lambda b: F.struct((F.greatest(edge(b), F.col("_from")) - F.col("_from")).alias("lo"), (F.least(edge(b + 1), upto) - F.col("_from")).alias("hi")))
-    spans = F.filter(spans, lambda s: s["lo"] < s["hi"])
+    edge = lambda b: F.floor(b * F.col("words") / n)
+    numbers = F.sequence(F.greatest(F.floor(lo * n / F.col("words")) - 1, F.lit(0)), F.least(F.floor(hi * n / F.col("words")) + 1, n))
+    step = F.when(n % STRIDE == 0, F.lit(1)).otherwise(STRIDE)
+    taken = F.filter(numbers, lambda b: (b < n) & ((b * step + F.col("shard") * 7919) % n < F.col("quota")))
+    spans = F.transform(taken, lambda b: F.struct((F.greatest(edge(b), lo) - lo).alias("lo"), (F.least(edge(b + 1), hi) - lo).alias("hi")))
     none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
-    return at.withColumn("_spans", F.when((F.col("_size") > 0) & (F.col("_quota") > 0), spans).otherwise(none))
-
-
-def taken() -> Column:
-    return F.col("_size") * F.col("_passes") + F.aggregate("_spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
+    return at.withColumn("spans", F.when((F.col("size") > 0) & (F.col("quota") > 0), F.filter(spans, lambda s: s["lo"] < s["hi"])).otherwise(none))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, size, source_size, target, taken.
 
     A null source is the last source; null and wordless texts have size 0 and taken 0; a source without words has
-    target 0. Rows of the same id are mixed each for itself, in the order of their texts' checksums.
+    target 0. Rows of the same id are mixed each for itself, in the order of their texts' checksums. Further columns
+    are ignored, whatever their names; an empty table gives an empty one.
     """
-    df = plan(cut(_sized(docs, id_col, source_col, text_col).select(*KEYS)), weights)
-    return df.select(F.col("_id").alias(id_col), F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), taken().alias("taken"))
+    df = plan(cut(sized(docs, id_col, source_col, text_col)), weights)
+    taken = F.col("size") * F.col("passes") + F.aggregate("spans", F.lit(0).cast("long"), lambda a, s: a + s["hi"] - s["lo"])
+    return df.select(F.col("id").alias(id_col), "size", "source_size", "target", taken.alias("taken"))
 
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,14 +146,23 @@ def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pipeline stage: documents come once for each whole take, and once more with the words of their taken blocks."""
+    """Pipeline stage: documents come once for each whole take, and once more with the words of their taken blocks.
+
+    Exact repeats of a row are planned each for itself; their common text is joined to all of their plans.
+    """
     names = docs.columns
-    how = plan(_sized(docs, "doc_id", "source", "text")).where("_passes > 0 or size(_spans) > 0")
-    full = F.array_repeat(F.array().cast("array<struct<lo:bigint,hi:bigint>>"), F.col("_passes").cast("int"))
-    part = F.when(F.size("_spans") > 0, F.array(F.col("_spans"))).otherwise(F.array().cast("array<array<struct<lo:bigint,hi:bigint>>>"))
-    each = how.withColumn("_take", F.explode(F.concat(full, part)))
-    words = F.regexp_extract_all("text", F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0))
-    cutout = F.array_join(F.transform("_take", lambda s: F.array_join(F.slice(words, (s["lo"] + 1).cast("int"), (s["hi"] - s["lo"]).cast("int")), "")), "")
-    text = F.when(F.size("_take") == 0, F.col("text")).otherwise(cutout)
-    out = each.withColumn("text", text)
-    return out.withColumn("n_chars", F.length("text").cast("long")).select(*names)
+    inner, (i, s, t) = inside(docs, "doc_id", "source", "text")
+    keyed = row_keys(inner)
+    rows = cut(sized(keyed, i, s, t, F.col("k1"), F.col("k2")))
+    how = plan(rows).where("passes > 0 or size(spans) > 0").select("k1", "k2", "passes", "spans")
+    out = without_repeats(keyed, rows).join(how.hint("shuffle_hash"), ["k1", "k2"])
+    none = F.array().cast("array<struct<lo:bigint,hi:bigint>>")
+    part = F.when(F.size("spans") > 0, F.array(F.col("spans"))).otherwise(F.array().cast("array<array<struct<lo:bigint,hi:bigint>>>"))
+    each = out.withColumn("take", F.explode(F.concat(F.array_repeat(none, F.col("passes").cast("int")), part)))
+    words = F.when(F.size("take") > 0, F.regexp_extract_all(t, F.lit(r"[^\x20\x09-\x0D]+[\x20\x09-\x0D]*"), F.lit(0)))
+    each = each.withColumn("words", words)
+    # words is used twice, so the optimizer does not put its expression into the lambda
+    cutout = F.array_join(F.flatten(F.transform("take", lambda x: F.slice(F.col("words"), (x["lo"] + 1).cast("int"), (x["hi"] - x["lo"]).cast("int")))), "")
+    each = each.withColumn(t, F.when(F.size("words") > 0, cutout).otherwise(F.col(t)))
+    counted = [F.length(t).cast("long").alias(c) if n == "n_chars" else F.col(c) for n, c in zip(names, inner.columns, strict=True)]
+    return each.select(*counted).toDF(*names)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scans
+from . import license_scans, mixing, sharding
 
 
 def _list(words: str) -> str:
@@ -106,3 +106,56 @@ n AS (SELECT doc_id, count(*) AS n FROM gone GROUP BY 1),
 kept AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS t FROM l ANTI JOIN gone USING (doc_id, i) GROUP BY 1)
 SELECT doc_id, coalesce(n, 0)::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+
+def sharding_sql(shards: int = 40) -> str:
+    """Rendezvous over the same constants; CRC-32 byte by byte (parts of a shard: one below sharding.PART_ROWS rows each)."""
+    rows = ", ".join(f"({s}, {x}::BIGINT, {y}::BIGINT)" for s, (x, y) in enumerate(sharding.constants(shards + 1)))
+    p = sharding.PRIME
+    return f"""
+WITH RECURSIVE shards(no, x, y) AS (VALUES {rows}),
+d AS (SELECT doc_id, coalesce(text, '') AS t, md5('{sharding.SEED}:' || coalesce(doc_id::VARCHAR, 'null')) AS h FROM documents),
+k AS (SELECT doc_id, ('0x' || h[1:7])::BIGINT AS a, ('0x' || h[8:14])::BIGINT AS b FROM d),
+u AS (SELECT doc_id, no, (((a + x) % {p}) * ((a + x) % {p}) % {p}) * ((b + y) % {p}) % {p} AS u FROM k, shards),
+s AS (SELECT doc_id, no, -1.0::DOUBLE / ln((u + 0.5::DOUBLE) / {p}) AS score FROM u),
+won AS (SELECT doc_id, arg_max(no, (score, -no)) FILTER (no < {shards}) AS shard, arg_max(no, (score, -no)) AS grown_shard FROM s GROUP BY 1),
+bits AS (SELECT n, list_reduce(list_prepend(n::BIGINT, range(8)), lambda c, k: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) AS v FROM range(256) r(n)),
+crc(doc_id, left_, c) AS (SELECT doc_id, hex(encode(t)), 4294967295::BIGINT FROM d
+  UNION ALL SELECT doc_id, left_[129:], {_crc_steps()} FROM crc, (SELECT list(v ORDER BY n) AS bt FROM bits) WHERE left_ <> ''),
+done AS (SELECT doc_id, xor(c, 4294967295) AS text_crc32 FROM crc WHERE left_ = '')
+SELECT doc_id, (strlen(t) + 16)::BIGINT AS size, text_crc32, 'key' AS law, shard::INT AS shard,
+  row_number() OVER (PARTITION BY shard ORDER BY doc_id) - 1 AS slot, grown_shard::INT AS grown_shard
+FROM d JOIN won USING (doc_id) JOIN done USING (doc_id)
+"""
+
+
+def _crc_steps() -> str:
+    """The next 64 bytes of the hex digits left_ into c."""
+    return "list_reduce(list_prepend(c, list_transform(regexp_extract_all(left_[1:128], '..'), lambda x: ('0x' || x)::BIGINT)), lambda c, x: xor(c >> 8, bt[(xor(c, x) & 255) + 1]))"
+
+
+#: Weights, caps, quotients, blocks and the rotation by plain definitions (shards: one for each source below mixing.SHARD_ROWS rows).
+MIXING_SQL = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size, ('0x' || md5('{mixing.SEED}:' || coalesce(doc_id::VARCHAR, 'null'))[9:23])::BIGINT AS ord FROM documents),
+per AS (SELECT source, sum(size)::BIGINT AS n, row_number() OVER (ORDER BY source NULLS LAST) AS no FROM d GROUP BY 1),
+w AS (SELECT *, ([5, 2, 1])[(no - 1) % 3 + 1]::DOUBLE AS w FROM per),
+-- a round fixes the sources above their cap; it ends when none is
+rounds(rnd, fixed, again) AS (SELECT 0, []::BIGINT[], true
+  UNION ALL SELECT rnd + 1, list_concat(fixed, over_), len(over_) > 0 FROM (
+    SELECT rnd, fixed, (SELECT coalesce(list(no), []) FROM w WHERE NOT list_contains(fixed, no) AND
+      ((SELECT sum(n) FROM w) - coalesce((SELECT sum({mixing.CAP} * n) FROM w WHERE list_contains(fixed, no)), 0))::DOUBLE * w / (SELECT sum(w) FROM w WHERE NOT list_contains(fixed, no)) > {mixing.CAP} * n) AS over_
+    FROM rounds WHERE again)),
+held AS (SELECT fixed FROM rounds ORDER BY rnd DESC LIMIT 1),
+goal AS (SELECT w.*, CASE WHEN list_contains(fixed, no) THEN ({mixing.CAP} * n)::DOUBLE ELSE
+  ((SELECT sum(n) FROM w) - coalesce((SELECT sum({mixing.CAP} * n) FROM w, held WHERE list_contains(fixed, no)), 0))::DOUBLE * w / (SELECT sum(w) FROM w, held WHERE NOT list_contains(fixed, no)) END AS target FROM w, held),
+seats AS (SELECT no, row_number() OVER (ORDER BY target / (2 * s + 1) DESC, no) AS place FROM (SELECT no, target, unnest(range({mixing.CAP} * n // {mixing.BLOCK} + 1)) AS s FROM goal) WHERE target > 0),
+dealt AS (SELECT no, count(*) AS q FROM seats WHERE place <= floor((SELECT sum(n) FROM w) / {mixing.BLOCK}::DOUBLE + 0.5) GROUP BY 1),
+take AS (SELECT goal.*, CASE WHEN abs(target - {mixing.CAP} * n) < {mixing.BLOCK} THEN {mixing.CAP} * n ELSE least(coalesce(q, 0) * {mixing.BLOCK}, {mixing.CAP} * n) END AS take FROM goal LEFT JOIN dealt USING (no)),
+share AS (SELECT *, CASE WHEN n > 0 THEN take // n ELSE 0 END AS passes, CASE WHEN n > 0 THEN (take % n) / n::DOUBLE ELSE 0 END AS rest, CASE WHEN n > 0 THEN greatest(floor(n / {mixing.BLOCK}::DOUBLE + 0.5), 1) ELSE 0 END::BIGINT AS blocks FROM take),
+quota AS (SELECT *, floor(blocks * rest + 0.5)::BIGINT AS quota FROM share),
+b AS (SELECT no, floor(blk * n / blocks::DOUBLE)::BIGINT AS lo, floor((blk + 1) * n / blocks::DOUBLE)::BIGINT AS hi FROM (SELECT *, unnest(range(blocks)) AS blk FROM quota)
+  WHERE (blk * CASE WHEN blocks % {mixing.STRIDE} = 0 THEN 1 ELSE {mixing.STRIDE} END) % blocks < quota),
+spot AS (SELECT doc_id, no, size, (sum(size) OVER (PARTITION BY no ORDER BY ord, doc_id) - size)::BIGINT AS lo FROM d JOIN quota ON d.source IS NOT DISTINCT FROM quota.source),
+part AS (SELECT doc_id, sum(least(b.hi, spot.lo + size) - greatest(b.lo, spot.lo)) AS words FROM spot JOIN b ON spot.no = b.no AND b.lo < spot.lo + size AND b.hi > spot.lo GROUP BY 1)
+SELECT doc_id, size, n AS source_size, target, (size * passes + coalesce(words, 0))::BIGINT AS taken FROM spot JOIN quota USING (no) LEFT JOIN part USING (doc_id)
+"""

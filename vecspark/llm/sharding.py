@@ -1,59 +1,73 @@
 """Sharding by rendezvous hashing of stable record keys over weighted shards.
 
-A record's key and the shard's number give a uniform number u; the shard of highest -weight / ln(u) wins. With one
-more shard a record moves only if the new shard wins, so about 1 / (n + 1) of the rows move, all into the new one.
-Slots are numbered without gaps in two levels: rows are dealt into SPLITS parts of each shard, the parts' counts
-(shards x SPLITS rows, a fixed bound) give each part's first slot. No task ever holds a whole shard.
+Two numbers of the key's digest and two of the shard give a uniform number u; the shard of highest -weight / ln(u) wins.
+With one more shard a record moves only if the new shard wins, so about 1 / (n + 1) of the rows move, all into the new
+one. Slots are numbered without gaps in two levels: rows are dealt into parts of about PART_ROWS rows of each shard, and
+the parts' counts give each part's first slot. No task ever holds a whole shard.
 """
 
 from __future__ import annotations
 
+import random
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load
+from .common import BROADCAST_ROWS, hex_number, load
 
-SPLITS = 64
+PART_ROWS = 1 << 16
 SEED = 7
+PRIME = 2147483647
 
 
-def rendezvous(key: Column, weights: Sequence[float]) -> Column:
-    """The winning shard of 0 .. len(weights) - 1; ties go to the smaller number."""
-    w = F.lit([float(x) for x in weights])
+def constants(n: int) -> list[tuple[int, int]]:
+    """Two numbers for each shard; those of a shard do not depend on how many there are."""
+    rng = random.Random(SEED)
+    return [(rng.randrange(PRIME), rng.randrange(PRIME)) for _ in range(n)]
+
+
+def _best(a: Column, b: Column, weights: Sequence[float], shards: Sequence[int]) -> Column:
+    """(score, -shard) of the winner among some shards; ties go to the smaller number. a, b: numbers of the key."""
+    known = constants(max(shards) + 1)
+    table = F.array(*(F.struct(F.lit(s).alias("no"), F.lit(known[s][0]).cast("long").alias("x"), F.lit(known[s][1]).cast("long").alias("y"), F.lit(float(weights[s])).alias("w")) for s in shards))
 
     def scored(s: Column) -> Column:
-        u = (F.shiftrightunsigned(F.xxhash64(key, s, F.lit(SEED)), 11).cast("double") + 0.5) / float(1 << 53)
-        return F.struct((-F.element_at(w, s + 1) / F.log(u)).alias("score"), (-s).alias("no"))
+        one = (a + s["x"]) % PRIME
+        u = (one * one % PRIME) * ((b + s["y"]) % PRIME) % PRIME
+        return F.struct((-s["w"] / F.log((u + 0.5) / float(PRIME))).alias("score"), (-s["no"]).alias("no"))
 
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(len(weights) - 1)), scored))
-    return (-best["no"]).cast("int")
+    return F.array_max(F.transform(table, scored))
 
 
 def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each input row: id, size, text_crc32, law, shard, slot, grown_shard.
 
     Null texts count as empty (size 16, crc 0). A null id is a key of its own. Rows with the same id land in the same
-    shard in slots of their own. grown: the weights with more shards, or null for no grown_shard.
+    shard in slots of their own. grown: the weights with more shards behind the same ones, or null for no grown_shard.
+    Further columns are ignored, whatever their names; an empty table gives an empty one.
     """
+    n = len(weights)
+    if grown and list(grown[:n]) != list(weights):
+        raise ValueError("grown must begin with weights")
+    parts = max(1, -(-docs.count() // (n * PART_ROWS)))
     body = F.coalesce(F.col(text_col), F.lit(""))
-    key = F.coalesce(F.col(id_col).cast("string"), F.lit("\x00null"))
-    base = docs.select(
-        F.col(id_col),
-        (F.octet_length(body) + 16).cast("long").alias("size"),
-        F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"),
-        rendezvous(key, weights).alias("shard"),
-        (rendezvous(key, grown) if grown else F.lit(None).cast("int")).alias("grown_shard"),
-        F.pmod(F.xxhash64(key, F.lit(SEED + 1)), F.lit(SPLITS)).cast("int").alias("_part"),
-    )
-    counts = docs.select(rendezvous(key, weights).alias("shard"), F.pmod(F.xxhash64(key, F.lit(SEED + 1)), F.lit(SPLITS)).cast("int").alias("_part")).groupBy("shard", "_part").count()
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    first = counts.select("shard", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
-    in_part = Window.partitionBy("shard", "_part").orderBy(id_col, "text_crc32", "size")
-    # first has at most len(weights) * SPLITS rows
-    out = base.withColumn("_n", F.row_number().over(in_part)).join(F.broadcast(first), ["shard", "_part"])
-    return out.select(id_col, "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("_first") + F.col("_n") - 1).alias("slot"), "grown_shard")
+    digest = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
+    numbers = [hex_number(digest, 1, 7).alias("a"), hex_number(digest, 8, 7).alias("b"), (hex_number(digest, 15, 7) % parts).cast("int").alias("part")]
+
+    def placed(*more: Column) -> DataFrame:
+        df = docs.select(F.col(id_col).alias("id"), *more, *numbers)
+        return df.withColumn("best", _best(F.col("a"), F.col("b"), weights, range(n))).withColumn("shard", (-F.col("best.no")).cast("int"))
+
+    base = placed((F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"))
+    later = F.greatest(F.col("best"), _best(F.col("a"), F.col("b"), grown, range(n, len(grown)))) if grown and len(grown) > n else F.col("best")
+    base = base.withColumn("grown_shard", (-later["no"]).cast("int") if grown else F.lit(None).cast("int")).drop("a", "b", "best")
+    counts = placed().groupBy("shard", "part").agg(F.count("*").alias("rows"))
+    before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    first = counts.select("shard", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))  # shards * parts rows
+    here = Window.partitionBy("shard", "part").orderBy("id", "text_crc32", "size")
+    out = base.withColumn("place", F.row_number().over(here)).join(F.broadcast(first) if n * parts <= BROADCAST_ROWS else first, ["shard", "part"])
+    return out.select(F.col("id").alias(id_col), "size", "text_crc32", F.lit("key").alias("law"), "shard", (F.col("first") + F.col("place") - 1).alias("slot"), "grown_shard")
 
 
 def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

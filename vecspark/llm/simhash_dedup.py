@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, load
+from .common import components, cut, inside, load, row_keys, small_or_joined, without_repeats
 
 SEED = 42
 RADIUS = 2
@@ -163,10 +163,13 @@ def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     A row is its doc_id, its text and its other columns. Null ids come last, and equal ids are told apart by hashes; so
     rows of one id in different groups do not touch each other, nor do rows without an id. Exact repeats of the row that
-    stays are dropped.
+    stays are dropped. The groups are decided on keys; texts are joined once, or not moved at all if few rows go.
     """
-    whole = F.struct(F.xxhash64(F.coalesce("text", F.lit(""))).alias("text"), F.xxhash64(F.lit(1), *docs.columns).alias("all"))
-    keyed = docs.withColumn("_row", F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", whole.alias("whole")))
-    found = groups(cut(fingerprints(keyed, "_row")), "_row")
-    keep = found.where("_row = component_id").select("_row").distinct()
-    return keyed.join(keep, "_row", "left_semi").dropDuplicates(["_row"]).select(*docs.columns)
+    names = docs.columns
+    inner, (i, t) = inside(docs, "doc_id", "text")
+    keyed = row_keys(inner)
+    row = F.struct(F.col(i).isNull().alias("none"), F.col(i).alias("id"), "k1", "k2")
+    found = cut(groups(cut(fingerprints(keyed.select(row.alias("row"), t), "row", t)), "row"))
+    gone = cut(found.where("row <> component_id").select("row.k1", "row.k2").distinct())
+    kept = without_repeats(keyed, found.select("row.k1", "row.k2"))
+    return small_or_joined(kept, gone, ["k1", "k2"], "left_anti").select(*inner.columns).toDF(*names)
