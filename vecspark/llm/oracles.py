@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import license_scans, mixing, sharding
+from . import license_scans, mixing, sharding, url_filters
 
 
 def _list(words: str) -> str:
@@ -159,3 +159,25 @@ spot AS (SELECT doc_id, no, size, (sum(size) OVER (PARTITION BY no ORDER BY ord,
 part AS (SELECT doc_id, sum(least(b.hi, spot.lo + size) - greatest(b.lo, spot.lo)) AS words FROM spot JOIN b ON spot.no = b.no AND b.lo < spot.lo + size AND b.hi > spot.lo GROUP BY 1)
 SELECT doc_id, size, n AS source_size, target, (size * passes + coalesce(words, 0))::BIGINT AS taken FROM spot JOIN quota USING (no) LEFT JOIN part USING (doc_id)
 """
+
+
+def url_sql() -> str:
+    """Rules by length and the model's sum over all n-grams, with the same weights."""
+    u = url_filters
+    rules = ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in u.RULES)
+    number = lambda n: " + ".join(f"unicode(s[i + {k}])::BIGINT * {u.BASE**k}" for k in range(n))
+    part = " UNION ALL ".join(f"SELECT page_id, ({number(n)} + {n}) % {u.PRIME} % {u.BUCKETS} AS g FROM (SELECT page_id, s, unnest(range(1, length(s) - {n - 2})) AS i FROM marked)" for n in u.GRAM_LENGTHS)
+    return rf"""
+WITH r AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, instr(url, '://') + 3) ELSE '' END AS rest FROM pages),
+h AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS raw FROM r),
+p AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM h),
+rules(verdict, host, path) AS (VALUES {rules}),
+fits AS (SELECT page_id, arg_max(r.host || r.path, length(r.host || r.path)) AS rule, arg_max(verdict, length(r.host || r.path)) AS said
+  FROM p JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path) GROUP BY 1),
+marked AS (SELECT page_id, '^' || host || '$' AS s FROM p UNION ALL SELECT page_id, '|' || path FROM p),
+g AS ({part}),
+w AS (SELECT unnest(range({u.BUCKETS})) AS g, unnest({list(u.weights()[:-1])}::DOUBLE[]) AS w),
+z AS (SELECT page_id, sum(w) / sqrt(count(*)) AS z FROM g JOIN w USING (g) GROUP BY 1),
+m AS (SELECT page_id, host, path, rule, said, round(1 / (1 + exp(-(({u.weights()[-1]})::DOUBLE + coalesce(z, 0)))), 6) AS probability FROM p LEFT JOIN z USING (page_id) LEFT JOIN fits USING (page_id))
+SELECT page_id, host, path, rule, coalesce(said, CASE WHEN probability >= {u.THRESHOLD} THEN 'block' ELSE 'allow' END) AS verdict, probability FROM m
+"""

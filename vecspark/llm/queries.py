@@ -24,4 +24,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_license_scans": oracles.license_sql(), "op2_embedding_dedup": oracles.EMBEDDING_SQL, "op3_mixing": oracles.MIXING_SQL, "op5_line_dedup": oracles.LINE_SQL, "op8_sharding": oracles.sharding_sql(), "op6_quality_rules": oracles.QUALITY_SQL, "op7_suffix_dedup": oracles.SUFFIX_SQL}
+    return {"op1_license_scans": oracles.license_sql(), "op2_embedding_dedup": oracles.EMBEDDING_SQL, "op3_mixing": oracles.MIXING_SQL, "op5_line_dedup": oracles.LINE_SQL, "op8_sharding": oracles.sharding_sql(), "op6_quality_rules": oracles.QUALITY_SQL, "op7_suffix_dedup": oracles.SUFFIX_SQL, "op10_url_filters": oracles.url_sql()}

@@ -1,15 +1,16 @@
 """URL filters: longest-match rules, then logistic regression on hashed character n-grams of host and path.
 
 Everything that touches the table is SQL functions in one projection: no shuffle, no Python on executors. The
-model has BUCKETS + 1 numbers, trained on the driver side by Spark ML from the bundled labelled table.
+model has BUCKETS + 1 numbers, trained once a process from the small labelled table below.
 """
 
 from __future__ import annotations
 
-from functools import reduce
+import math
+from collections.abc import Sequence
+from functools import lru_cache
 
-from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,42 +18,46 @@ from .common import ascii_lower, load
 
 #: Fixed values: (verdict, host, path). A rule fits its host and all subdomains under its path.
 RULES = [("block", "net", "/"), ("allow", "example.net", "/en/"), ("block", "example.com", "/de/"), ("allow", "org", "/fr/")]
-#: Labelled URLs (host and path), 1 = unwanted. The whole table is the training set.
-BLOCKED = """cheap-pills.shop/buy casino-online.win/bonus ads-track.example.org/click?x best-casino.example.com/en/1
-free-money.biz/now cheap-pills.example.com/en/12 pills-discount.com/order viagra-cheap.com/ adserver.example.com/banner
-ads.track-click.com/pixel click-track.net/redirect poker-bonus.example.org/en/play slots-casino.com/jackpot
-xxx-videos.com/watch adult-cams.example.com/live porn-tube.org/free hot-dating.biz/join win-prize.example.com/claim
-lottery-winner.info/claim loan-fast.example.com/apply payday-loans.biz/apply crypto-double.io/invest
-replica-watches.com/sale cheap-watches.example.org/en/3 download-crack.com/keygen warez-free.org/serial
-malware-drop.ru/exe phish-login.example.com/account/verify secure-bank-login.xyz/verify track-ads.example.com/fr/7
-banner-ads.example.org/de/9 popunder-ads.com/serve doubleclick-ads.com/track pills-online.example.org/fr/22
-casino-royal.example.com/es/4 bet-now.example.com/odds betting-tips.win/odds cheap-meds.example.com/es/8
-seo-links.biz/buy-links spam-mailer.com/bulk clickbait-ads.com/top10 gamble-slots.org/spin
-sexy-chat.example.com/room escort-city.com/list xxx-adult.example.org/en/77 free-casino-bonus.com/en/5
-ads-track.example.com/en/786/ ads-track.example.com/fr/40 cheap-pills.example.org/en/501 tracker-pixel.com/1x1.gif
-www.casino-club.example.com/en/41 blog.online-casino.example.org/en/88 m.casino-games.example.com/es/250 casino.example.com/fr/9
-www.free-spins.example.com/en/17 m.free-gifts.example.org/en/301 blog.freebets.example.com/en/64 sports-bets.example.org/es/12
-www.pills-rx.example.com/en/5/ blog.diet-pills.example.org/es/96 m.cheap-viagra.example.com/en/733 cheap-loans.example.com/en/15
-www.spam-links.example.com/en/20 blog.spammy.example.org/en/447 m.link-farm.example.com/en/9 content-farm.example.org/es/81
-www.ads-network.example.com/en/66 m.adclick.example.org/en/54 blog.track-click.example.com/en/310 ad-tracker.example.org/fr/3
-www.poker-win.example.com/en/70 win-big.example.org/en/18 m.jackpot-win.example.com/es/27 blog.slots-win.example.com/en/92""".split()
-ALLOWED = """en.wikipedia.org/wiki/Logistic news.example.com/en/1 blog.thtion.example.com/en/16 www.therer.example.com/en/814
-m.therou.example.com/fr/860 ththed.example.org/en/453 blog.ththly.example.org/es/180 www.theren.example.org/de/245
-docs.python.org/3/library docs.example.com/guide/start shop.example.com/en/books library.example.org/catalog/7
-www.university.edu/research/paper www.museum.org/history weather.example.com/today maps.example.org/city/paris
-recipes.example.com/soup/12 blog.cooking.com/bread/2019 travel.example.org/es/madrid www.science.org/articles/9
-forum.linux.org/thread/88 code.example.com/project/readme www.school.edu/course/math m.news.org/world/europe
-www.thhaing.example.com/en/319/ blog.reand.example.com/en/42 ststing.example.com/es/680 thandor.example.org/en/14
-www.heonly.example.com/fr/210 blog.onthat.example.org/en/929/ ingthe.example.com/en/234 m.ernd.example.com/es/949
-www.entwas.example.org/en/196/ blog.tionsh.example.com/en/847 www.ththen.example.com/es/319/ eronth.example.com/en/63
-health.example.org/advice/sleep www.garden.com/plants/rose music.example.com/album/3 film.example.org/review/22
-sport.example.com/en/football/11 www.city-hall.org/office/hours archive.example.org/1998/05 photos.example.com/album/sea
-blog.anenea.example.com/en/78 www.thwhor.example.com/es/55 edthe.example.org/en/357 blog.ouin.example.com/fr/668
-history.example.org/rome/empire www.newspaper.com/politics/2020 wiki.example.com/page/physics jobs.example.com/list/teacher""".split()
-
-BUCKETS = 2048
+#: Words of unwanted and of ordinary hosts. labelled() combines them to the training table.
+UNWANTED = """casino poker slots jackpot betting gamble lottery roulette viagra pills pharmacy meds cialis diet-pills payday-loan
+cheap-loans crypto-double forex-profit free-money win-prize prize-claim free-gift porn xxx sexy adult cams escort hookup
+replica cheap-watches warez crack keygen malware phishing login-verify spam spammy link-farm spam-farm content-farm seo-links
+clickbait adserver ads-track ad-tracker popunder tracker banner-ads click-track cheap-pills hot-dating bonus-spins""".split()
+ORDINARY = """news library museum university school research science history weather maps recipes cooking garden travel music
+film books archive forum wiki docs code project health sport football cycling photos gallery theatre city council police
+hospital railway airport harbour market bakery farmers mountain river forest ocean language grammar physics chemistry biology
+astronomy philosophy economy parliament journal magazine radio festival orchestra kitchen carpenter printing weaving
+reading writing building painting training meeting evening spring nation station translation education collection tradition
+exhibition stable notable vegetable capable possible theory method mathematics mother brother leather northern southern
+another together thinking anthology healthy earth northwest thesis timber tailor tutor tower handbook standards another-day
+sounds landing handmade strand shore shelter fresh english spanish wisdom hours harvest horizon entrance summer winter""".split()
+PATHS = ["/", "/index.html", "/en/12", "/about", "/fr/7.html", "/view/3", "/item/881", "/de/41/", "/post/today", "/es/105"]
+ENDS = ["com", "org", "info", "co.uk", "io"]
+SYLLABLES = "ba ke li mo nu ra se ti vo za den kor mil pas ter".split()
+
+BUCKETS = 1 << 13
 GRAM_LENGTHS = (3, 4)
-THRESHOLD = 0.66
+#: Gram numbers: code points weighed by powers of BASE, modulo PRIME.
+BASE, PRIME = 131, 1_000_003
+PENALTY = 5e-5
+THRESHOLD = 0.5
+
+
+def labelled() -> list[tuple[str, str, int]]:
+    """The training table: (host, path, 1 if unwanted), about 1,100 rows. Words of one label are joined in pairs; both
+    labels have the same ends and paths. Ordinary names without known words stand for the many hosts of no meaning."""
+    out = []
+    for label, words in ((1, UNWANTED), (0, ORDINARY)):
+        for i, w in enumerate(words):
+            for j in range(6):
+                other = words[(7 * i + 13 * j + 1) % len(words)]
+                host = (f"www.{w}", f"{w}-{other}", f"{other}{w}", f"m.{w}-online", f"blog.{other}-{w}", w)[j]
+                out.append((f"{host}.{ENDS[(i + j) % len(ENDS)]}", PATHS[(3 * i + j) % len(PATHS)], label))
+    n = len(SYLLABLES)
+    for i in range(90):
+        name = SYLLABLES[i % n] + SYLLABLES[(i * 7 + 3) % n] + (SYLLABLES[(i * 4 + 1) % n] if i % 3 else "")
+        out.append((("", "www.", "blog.", "m.")[i % 4] + name + "." + ENDS[i % len(ENDS)], PATHS[i % len(PATHS)], 0))
+    return out
 
 
 def split_url(url: Column) -> tuple[Column, Column]:
@@ -79,48 +84,79 @@ def rule_of(host: Column, path: Column) -> tuple[Column, Column]:
     return chosen(lambda v, h, p: h + p), chosen(lambda v, h, p: v)
 
 
-def grams(host: Column, path: Column) -> Column:
-    """Bucket numbers of all character n-grams; host and path are marked so that they hash apart."""
+def _marked(host, path, joined):
+    """Host and path with marks, so that their grams are different."""
+    return joined("^", host, "$"), joined("|", path)
 
-    def of(s: Column, n: int) -> Column:
-        at = F.when(F.length(s) >= n, F.sequence(F.lit(1), F.greatest(F.length(s) - (n - 1), F.lit(1)))).otherwise(F.array().cast("array<int>"))
-        return F.transform(at, lambda i: F.pmod(F.xxhash64(F.substring(s, i, n)), F.lit(BUCKETS)).cast("int"))
 
-    marked = F.concat(F.lit("^"), host, F.lit("$")), F.concat(F.lit("|"), path)
-    return reduce(F.concat, [of(s, n) for s in marked for n in GRAM_LENGTHS])
+def grams(points: Column) -> Column:
+    """Bucket numbers of all character n-grams of an array of code points, which must be a column of its own."""
 
+    def of(n: int) -> Column:
+        # the points are used more than once, so the optimizer does not put their expression into the lambda
+        number = lambda i: sum((F.get(points, i + k) * F.lit(BASE**k).cast("long") for k in range(n)), F.lit(n).cast("long"))
+        at = F.when(F.size(points) >= n, F.sequence(F.lit(0), F.greatest(F.size(points) - n, F.lit(0)))).otherwise(F.array().cast("array<int>"))
+        return F.transform(at, lambda i: (number(i) % PRIME % BUCKETS).cast("int"))
 
-def train(spark: SparkSession) -> list[float]:
-    """Weights of the n-gram buckets, then the intercept: BUCKETS + 1 numbers whatever the corpus."""
-    rows = [(f"http://{u}", y) for urls, y in ((BLOCKED, 1.0), (ALLOWED, 0.0)) for u in urls]
-    df = spark.createDataFrame(rows, "url string, label double").coalesce(1)
-    host, path = split_url(F.col("url"))
-    g = grams(host, path)
-    # counts of each bucket over the root of their sum, so that long urls don't outweigh short ones
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.size(F.filter("g", lambda x: x == b)) / F.sqrt(F.size("g").cast("double")))
-    data = df.select("label", g.alias("g")).select("label", array_to_vector(dense.cast("array<double>")).alias("features"))
-    model = LogisticRegression(regParam=1e-4, maxIter=100, standardization=False).fit(data)
-    return [float(x) for x in model.coefficients] + [float(model.intercept)]
+    return F.concat(*(of(n) for n in GRAM_LENGTHS))
+
+
+def grams_of(host: str, path: str) -> list[int]:
+    """The same for one url of the training table."""
+    return [(sum(ord(s[i + k]) * BASE**k for k in range(n)) + n) % PRIME % BUCKETS for s in _marked(host, path, lambda *x: "".join(x)) for n in GRAM_LENGTHS for i in range(len(s) - n + 1)]
+
+
+def train(rows: Sequence[tuple[str, str, int]]) -> list[float]:
+    """Weights of the buckets, then the intercept, of a logistic regression with an L2 penalty, by Newton's method.
+
+    Features are counts over the root of their sum, so that long urls don't outweigh short ones. The table is small, so
+    the steps are solved in the space of its rows. Weights are rounded, so they are the same wherever they are trained.
+    """
+    x = np.zeros((len(rows), BUCKETS + 1))
+    for r, (host, path, _) in enumerate(rows):
+        g = grams_of(host, path)
+        np.add.at(x[r], g, 1 / math.sqrt(max(1, len(g))))
+    x[:, BUCKETS] = 1
+    y = np.array([float(label) for _, _, label in rows])
+    kernel, alpha = x @ x.T, np.zeros(len(rows))
+    for _ in range(50):
+        f = kernel @ alpha
+        p = 1 / (1 + np.exp(-f))
+        spread = np.maximum(p * (1 - p), 1e-9)
+        new = np.linalg.solve(kernel + np.diag(PENALTY * len(rows) / spread), f + (y - p) / spread)
+        done = np.abs(new - alpha).max() < 1e-9
+        alpha = new
+        if done:
+            break
+    return [round(float(w), 6) for w in x.T @ alpha]
+
+
+@lru_cache(maxsize=1)
+def weights() -> tuple[float, ...]:
+    """Trained once a process: BUCKETS + 1 numbers, whatever the corpus."""
+    return tuple(train(labelled()))
 
 
 def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url") -> DataFrame:
-    """Judges every url: id, host, path, rule, verdict and the model's probability.
+    """Judges every url: id, host, path, rule, verdict and the model's probability (six digits).
 
     Null urls and those without :// have an empty host and path; no rule fits them and the model judges the empty
-    string. An empty path does not start with "/". Repeated rows are judged each for itself; other columns are ignored.
+    string. An empty path does not start with "/". Repeated rows are judged each for itself; further columns are
+    ignored, whatever their names; an empty table gives an empty one. Time follows the length of an url.
     """
-    weights = train(pages.sparkSession)
+    w = F.lit([float(x) for x in weights()[:-1]])
     host, path = split_url(F.col(url_col))
-    df = pages.select(F.col(id_col), host.alias("host"), path.alias("path"))
+    df = pages.select(F.col(id_col).alias("id"), host.alias("host"), path.alias("path"))
+    points = lambda s: F.when(F.length(s) > 0, F.transform(F.split(s, ""), lambda c: F.ascii(c).cast("long")))
+    one, two = (points(s) for s in _marked(F.col("host"), F.col("path"), lambda *x: F.concat(*(F.lit(v) if isinstance(v, str) else v for v in x))))
+    df = df.select("id", "host", "path", one.alias("one"), two.alias("two"))
+    df = df.select("id", "host", "path", F.concat(grams(F.col("one")), grams(F.col("two"))).alias("g"))
+    total = F.aggregate("g", F.lit(0.0), lambda a, b: a + F.element_at(w, b + 1))
+    z = F.lit(weights()[-1]) + F.when(F.size("g") > 0, total / F.sqrt(F.size("g").cast("double"))).otherwise(0.0)
     rule, said = rule_of(F.col("host"), F.col("path"))
-    w = F.lit(weights[:-1])
-    g = grams(F.col("host"), F.col("path"))
-    df = df.select("*", rule.alias("rule"), said.alias("_said"), g.alias("_g"))
-    total = F.aggregate("_g", F.lit(0.0), lambda a, b: a + F.element_at(w, b + 1))
-    z = F.lit(weights[-1]) + F.when(F.size("_g") > 0, total / F.sqrt(F.size("_g").cast("double"))).otherwise(0.0)
-    df = df.select("*", (1 / (1 + F.exp(-z))).alias("probability"))
-    verdict = F.coalesce("_said", F.when(F.col("probability") >= THRESHOLD, "block").otherwise("allow"))
-    return df.select(id_col, "host", "path", "rule", verdict.alias("verdict"), "probability")
+    df = df.select("id", "host", "path", rule.alias("rule"), said.alias("said"), F.round(1 / (1 + F.exp(-z)), 6).alias("probability"))
+    verdict = F.coalesce("said", F.when(F.col("probability") >= THRESHOLD, "block").otherwise("allow"))
+    return df.select(F.col("id").alias(id_col), "host", "path", "rule", verdict.alias("verdict"), "probability")
 
 
 def op10_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
