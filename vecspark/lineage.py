@@ -11,5 +11,10 @@ def saved(df: DataFrame) -> DataFrame:
     """Checkpoints to the session's spark.checkpoint.dir; a temporary folder only where that is unset (one machine)."""
     spark = df.sparkSession
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="vecspark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise ValueError("a cluster needs a shared folder: set spark.checkpoint.dir")
+            folder = tempfile.mkdtemp(prefix="vecspark-")
+        spark.sparkContext.setCheckpointDir(folder)
     return df.checkpoint(eager=True)

@@ -102,12 +102,17 @@ def descent_pairs(edges: DataFrame, k: int, sample_rate: float = 1.0) -> DataFra
 
 #: Fixed values of the seeded random graph.
 RANDOM_A, RANDOM_B, RANDOM_P = 48271, 69621, 2147483647
+POSITION_ROWS = 1 << 16
 
 
 def random_pairs(points: DataFrame, k: int, seed: int = 9) -> DataFrame:
     """k pseudo-random partners (src, dst) for each point, never itself."""
-    ranked = positions(points.select("id"), [], ["id"], F.shiftright("id", 12), "ix")
     n = points.count()
+    parts = -(-n // POSITION_ROWS)
+    # buckets of about POSITION_ROWS rows each, whatever the ids' spread
+    cuts = points.approxQuantile("id", [i / parts for i in range(1, parts)], 0.1 / parts) if parts > 1 else []
+    bucket = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("id").cast("double"))) if cuts else F.lit(0)
+    ranked = positions(points.select("id"), [], ["id"], bucket, "ix")
     drawn = ranked.withColumn("_j", F.explode(F.sequence(F.lit(1), F.lit(k)))).withColumn("_to", F.pmod(F.pmod(F.col("ix") * RANDOM_A + F.col("_j") * RANDOM_B + seed, F.lit(RANDOM_P)), F.lit(n)))
     other = ranked.select(F.col("ix").alias("_to"), F.col("id").alias("dst"))
     return drawn.join(other, "_to").where("id <> dst").select(F.col("id").alias("src"), "dst").distinct()

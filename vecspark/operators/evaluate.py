@@ -91,5 +91,47 @@ def check_graph(neighbors: DataFrame, points: DataFrame, distance) -> DataFrame:
     return each.join(a, "src").join(b, "dst").select("src", "pos", "dst", distance(F.col("_a"), F.col("_b")).alias("distance"))
 
 
+def all_metrics(found: DataFrame, truth: DataFrame, runs: DataFrame, k: int, n_queries: int, eps: tuple[float, ...] = (0.01, 0.1)) -> DataFrame:
+    """One row a run with every metric: recall, epsilon recalls, relative error and the run's rates; runs: (run_id, algo, best_search_time, index_size, ..)."""
+    out = rates(runs).join(recall_knn(found, truth, k, n_queries), "run_id", "left")
+    for e in eps:
+        out = out.join(epsilon_recall(found, truth, k, n_queries, e).withColumnRenamed("recall", f"epsilon_{e}"), "run_id", "left")
+    return out.join(relative_error(found, truth), "run_id", "left")
+
+
+def metric_pairs(metrics: DataFrame, x: str, y: str) -> DataFrame:
+    """(algo, points): each algorithm's (x, y, run_id), best y first: the data of a plot of two metrics."""
+    return metrics.groupBy("algo").agg(F.sort_array(F.collect_list(F.struct(F.col(y).alias("y"), F.col(x).alias("x"), "run_id")), asc=False).alias("points"))
+
+
+def sampled(points: DataFrame, n: int, seed: int = 10) -> DataFrame:
+    """n points in the order of a seeded hash of their ids, whatever the partitions."""
+    return points.withColumn("_h", F.md5(F.concat(F.lit(f"{seed}:"), F.col("id").cast("string")))).orderBy("_h", "id").limit(n).drop("_h")
+
+
+def recall_histogram(exact: DataFrame, approx: DataFrame, k: int) -> DataFrame:
+    """(found, queries): how many points have so many of their k exact neighbours, for all numbers from 0 to k."""
+    per = set_recall(exact, approx, k).select(F.round(F.col("recall") * k).cast("int").alias("found"))
+    grid = exact.sparkSession.range(k + 1).select(F.col("id").cast("int").alias("found"))
+    return grid.join(per.groupBy("found").agg(F.count("*").alias("queries")), "found", "left").na.fill(0, ["queries"])
+
+
+def by_length(steps: DataFrame) -> DataFrame:
+    """(length, points, updates) of rows (length, updates): how often each hash length is used, and its updates."""
+    return steps.groupBy("length").agg(F.count("*").alias("points"), F.sum("updates").alias("updates"))
+
+
+def restricted(definitions: DataFrame, algorithm: str | None = None, tag: str | None = None, run_disabled: bool = False, most: int | None = None) -> DataFrame:
+    """The planner's filters over rows (name, algo, tag, disabled): one algorithm, one tag, no disabled ones, the first `most` by name."""
+    out = definitions
+    if algorithm is not None:
+        out = out.where(F.col("algo") == algorithm)
+    if tag is not None:
+        out = out.where(F.col("tag") == tag)
+    if not run_disabled:
+        out = out.where(~F.col("disabled"))
+    return out if most is None else out.orderBy("name").limit(most)
+
+
 def padded(values: Column, size: int, fill) -> Column:
     return F.slice(F.concat(values, F.array_repeat(F.lit(fill), size)), 1, size)

@@ -92,8 +92,10 @@ def plain(points: DataFrame, k: int, recall: float = 0.5, hash_length: int = 16,
         reps += BATCH
         p = F.pow(simhash_p(F.col("kth")), F.lit(float(hash_length)))
         if kth_similarity(edges, points, k).agg(F.avg(1 - F.pow(1 - p, F.lit(float(reps))))).first()[0] >= recall:
-            break
-    return edges
+            return edges
+    # still below the recall: the rest is searched exactly
+    rest = knn(points, points, k, exclude_self=True)
+    return graph_of(rest.select(F.col("src").alias("i"), F.col("dst").alias("j"), "sim"), k, edges)
 
 
 def varying_repetitions(points: DataFrame, k: int, recall: float = 0.8, keep_points: bool = True, guaranteed_fraction: float = 0.9, update_treshold: float = 50, initial_hash_length: int = 24, hash_function: str = "default", num_rotations: int = 3, use_sketching: bool = True, seed: int = 25, most: int = 8) -> DataFrame:
@@ -135,12 +137,21 @@ def varying_repetitions(points: DataFrame, k: int, recall: float = 0.8, keep_poi
 
 
 def nndescent(points: DataFrame, k: int, repetitions: int = 20, sample_rate: float = 1.0, use_sketching: bool = False, seed: int = 26) -> DataFrame:
-    """Random start, then rounds of local joins."""
+    """Random start, then rounds of local joins. With sketching a pair is only scored if its sketches differ in no more
+    bits than expected at the k-th similarity of one of both; each round uses the next sketch."""
+    dim = _dim(points)
+    sk = saved(sketches(points, dim, SKETCHES, 1, seed + 77)) if use_sketching else None
     start = C.random_pairs(points, k, seed).select(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j"))
     edges = saved(graph_of(score_pairs(start, points), k))
-    for _ in range(repetitions):
-        before, edges = edges, saved(graph_of(score_pairs(C.descent_pairs(edges, k, sample_rate), points), k, edges))
-        if edges.join(before, ["src", "dst"], "left_anti").isEmpty():  # all further rounds give the same
+    for number in range(repetitions):
+        pairs = C.descent_pairs(edges, k, sample_rate)
+        if sk is not None:
+            thr = F.floor(64 * (1 - simhash_p(F.col("kth")))).cast("int").alias("thr")
+            side = sk.where(F.col("sketch_no") == number % SKETCHES).join(kth_similarity(edges, points, k).select("id", thr), "id")
+            one, two = (side.select(F.col("id").alias(c), F.col("w0").alias(f"s{c}"), F.col("thr").alias(f"t{c}")) for c in "ij")
+            pairs = pairs.join(one, "i").join(two, "j").where(F.bit_count(F.col("si").bitwiseXOR(F.col("sj"))) <= F.greatest("ti", "tj")).select("i", "j")
+        before, edges = edges, saved(graph_of(score_pairs(pairs, points), k, edges))
+        if sk is None and edges.join(before, ["src", "dst"], "left_anti").isEmpty():  # all further rounds give the same
             break
     return edges
 

@@ -20,6 +20,8 @@ def run(name: str, points: DataFrame, queries: DataFrame, k: int, dataset: str,
     n = max(1, queries.count())
     for _ in range(repeats):
         began = time.time()
+        if rows is not None:
+            rows.unpersist()
         rows = algorithm.query(queries, k).cache()
         rows.count()
         best = min(best, (time.time() - began) / n)

@@ -5,6 +5,7 @@ Hash parameters are integers drawn on the driver; the SQL gets the same numbers
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -304,17 +305,15 @@ def exact_knn_search_hamming(spark, sf_dir):
     return edges_out(knn(_asked(p), p, K, "hamming"))
 
 
-PART_SETS = "ps AS (SELECT l_suppkey AS id, list_sort(list(DISTINCT l_partkey % 50)) AS tokens FROM lineitem GROUP BY 1)"
-
-
-def _supplier_sets(spark, sf_dir) -> DataFrame:
-    return read(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.array_sort(F.collect_set(F.col("l_partkey") % 50)).alias("tokens"))
+#: Part keys are below it.
+UNIVERSE = 1 << 24
+PART_SETS = "ps AS (SELECT l_suppkey AS id, list_sort(list(DISTINCT l_partkey)) AS tokens FROM lineitem GROUP BY 1)"
 
 
 @query(f"WITH {PART_SETS}, j AS (SELECT a.id AS src, b.id AS dst, len(list_intersect(a.tokens, b.tokens)) AS n, len(a.tokens) + len(b.tokens) AS m FROM ps a, ps b WHERE a.id % 20 = 0), e AS (SELECT src, dst, n / (m - n) AS sim FROM j) SELECT src, dst, round(sim, 6) AS sim, rank FROM ({top_sql('e')})")
 def exact_knn_search_jaccard(spark, sf_dir):
-    s = _supplier_sets(spark, sf_dir)
-    index = Index("jaccard", 50).insert(s)
+    s = part_baskets(spark, sf_dir)
+    index = Index("jaccard", UNIVERSE).insert(s)
     return edges_out(index._exact(s.where(F.col("id") % 20 == 0), K))
 
 
@@ -349,11 +348,6 @@ def simhash_codes(spark, sf_dir):
     return ints(codes(spark, sf_dir), "table_id")
 
 
-@query(f"WITH {CODES} SELECT table_id, id, h FROM codes")
-def independent_hash_codes(spark, sf_dir):
-    return ints(codes(spark, sf_dir), "table_id")
-
-
 POOL = Pool(6, 8, 40, 62)
 POOL_FAMILY = SimHash(DIM, 63)
 
@@ -404,24 +398,38 @@ def cp_codes(spark, sf_dir):
     return ints(codes(spark, sf_dir, CP, Independent(1, CP.bits)), "table_id")
 
 
+CP2, CP_SOURCE = CrossPolytope(DIM, 70), Independent(3, 10)
+
+
+def _independent_sql() -> str:
+    """Two functions of seven bits a table, cut to the leading ten bits."""
+    rows = ", ".join(f"({t}, {a}, {r.tolist()}::DOUBLE[])" for t, p in enumerate(CP2.draw(6)) for a, r in enumerate(p))
+    return f"WITH {PTS}, {Q15}, fn(table_id, axis, r) AS (VALUES {rows}), y AS (SELECT table_id, id, axis, list_dot_product(q, r) AS y FROM q15, fn), c AS ({_closest_sql('y')}) SELECT table_id // 2 AS table_id, id, (sum(CASE WHEN table_id % 2 = 0 THEN h << 7 ELSE h END)::BIGINT >> 4) AS h FROM c GROUP BY 1, 2"
+
+
+@query(_independent_sql())
+def independent_hash_codes(spark, sf_dir):
+    return ints(codes(spark, sf_dir, CP2, CP_SOURCE), "table_id")
+
+
 FHT = FHTCrossPolytope(DIM, 66)
 
 
 def _fht_sql() -> str:
-    parts = [PTS, Q15, f"sg(pos, s) AS (VALUES {', '.join(f'({p}, [{', '.join(str(int(FHT.draw(2)[t][p][i])) for i in range(DIM))}])' for t in (0,) for p in range(3))})"]
-    parts.append("x0 AS (SELECT id, q AS x FROM q15)")
+    signs = FHT.draw(2)
+    rows = ", ".join(f"({t}, {p}, {signs[t][p].tolist()})" for t in range(2) for p in range(3))
+    parts = [PTS, Q15, f"sg(table_id, pos, s) AS (VALUES {rows})", "x0 AS (SELECT table_id, id, q AS x FROM q15, range(2) r(table_id))"]
     for r in range(3):
-        parts.append(f"x{r + 1} AS (SELECT id, list(y ORDER BY i) AS x FROM (SELECT id, i, list_sum(list_transform(list_zip(x, s, range(0, 64)), lambda t: t[1] * t[2] * (1 - 2 * (bit_count(i & t[3]::BIGINT) % 2)))) AS y FROM x{r}, (SELECT s FROM sg WHERE pos = {r}), range(0, 64) g(i)) GROUP BY id)")
-    return f"WITH {', '.join(parts)}, y AS (SELECT 0 AS table_id, id, a - 1 AS axis, x[a] AS y FROM x3, range(1, 65) g(a)) {_closest_sql('y')}"
+        parts.append(f"x{r + 1} AS (SELECT table_id, id, list(y ORDER BY i) AS x FROM (SELECT table_id, id, i, list_sum(list_transform(list_zip(x, s, range(0, 64)), lambda t: t[1] * t[2] * (1 - 2 * (bit_count(i & t[3]::BIGINT) % 2)))) AS y FROM x{r} JOIN (SELECT table_id, s FROM sg WHERE pos = {r}) USING (table_id), range(0, 64) g(i)) GROUP BY 1, 2)")
+    return f"WITH {', '.join(parts)}, y AS (SELECT table_id, id, a - 1 AS axis, x[a] AS y FROM x3, range(1, 65) g(a)) {_closest_sql('y')}"
 
 
 @query(_fht_sql())
 def fht_cp_codes(spark, sf_dir):
-    family = FHTCrossPolytope(DIM, 66)
-    return ints(codes(spark, sf_dir, family, Independent(2, family.bits)).where("table_id = 0"), "table_id")
+    return ints(codes(spark, sf_dir, FHT, Independent(2, FHT.bits)), "table_id")
 
 
-MIN, MIN1 = MinHash(50, 67), MinHash(50, 67, True)
+MIN, MIN1 = MinHash(UNIVERSE, 67), MinHash(UNIVERSE, 67, True)
 
 
 def _minhash_sql(family: MinHash) -> str:
@@ -432,12 +440,12 @@ def _minhash_sql(family: MinHash) -> str:
 
 @query(_minhash_sql(MIN))
 def minhash_codes(spark, sf_dir):
-    return ints(hash_codes(_supplier_sets(spark, sf_dir), MIN, Independent(4, MIN.bits), True), "table_id")
+    return ints(hash_codes(part_baskets(spark, sf_dir), MIN, Independent(4, MIN.bits), True), "table_id")
 
 
 @query(_minhash_sql(MIN1))
 def minhash_1bit(spark, sf_dir):
-    return ints(hash_codes(_supplier_sets(spark, sf_dir), MIN1, Independent(4, 1), True), "table_id")
+    return ints(hash_codes(part_baskets(spark, sf_dir), MIN1, Independent(4, 1), True), "table_id")
 
 
 # ---- probabilities
@@ -535,6 +543,7 @@ def frozen_live_join(spark, sf_dir):
 
 
 def _blocks_sql(order: str, size: int) -> str:
+    """Pairs kp in blocks of consecutive codes."""
     return f"r AS (SELECT *, (row_number() OVER (PARTITION BY table_id ORDER BY {order}, id) - 1) // {size} AS blk, count(*) OVER (PARTITION BY table_id) // {size} AS nb FROM codes), kp AS (SELECT DISTINCT a.id AS i, b.id AS j FROM r a JOIN r b ON a.table_id = b.table_id AND a.blk = b.blk AND a.id < b.id WHERE a.blk < a.nb)"
 
 
@@ -566,7 +575,7 @@ def varying_prefix_join(spark, sf_dir):
 
 
 WEIGHTS = G.projection_weights(SOURCE.tables, SOURCE.length, 68)
-PROJECTION = "list_sum(list_transform(range(0, 6), lambda b: CASE WHEN (h >> b) & 1 = 1 THEN w[b + 1] ELSE 0.0 END))"
+PROJECTION = "list_sum(list_transform(range(0, len(w)), lambda b: CASE WHEN (h >> b) & 1 = 1 THEN w[b + 1] ELSE 0.0 END))"
 
 
 def _projection_sql() -> str:
@@ -606,26 +615,26 @@ def _fixed_sql(seed: int, reps: int, bits: int, pairs: str) -> str:
     return f"WITH {PTS}, {Q15}, {codes_sql(SimHash(DIM, seed), source)}, {pairs}"
 
 
-@query(_fixed_sql(21, 8, 10, f"{_blocks_sql('h', 16)}, {graph_sql('kp')}"))
+@query(_fixed_sql(21, 100, 16, f"{_blocks_sql('h', 16)}, {graph_sql('kp')}"))
 def graph_fixed_buckets(spark, sf_dir):
-    return edges_out(G.build_graph("angular", points(spark, sf_dir), K, "fixed_buckets", repetitions=8, hash_length=10, use_sketching=False))
+    return edges_out(G.build_graph("angular", points(spark, sf_dir), K, "fixed_buckets", use_sketching=False))
 
 
-@query(_fixed_sql(22, 8, 6, f"{BOUNDED.format(size=32)}, {graph_sql('bb')}"))
+@query(_fixed_sql(22, 100, 16, f"{BOUNDED.format(size=32).replace('(6 - ', '(16 - ').replace('range(0, 7)', 'range(0, 17)').replace('d = 6', 'd = 16')}, {graph_sql('bb')}"))
 def graph_bounded_buckets(spark, sf_dir):
-    return edges_out(G.build_graph("angular", points(spark, sf_dir), K, "bounded_buckets", repetitions=8, hash_length=6, use_sketching=False))
+    return edges_out(G.build_graph("angular", points(spark, sf_dir), K, "bounded_buckets", use_sketching=False))
 
 
 def _graph_projection_sql() -> str:
-    weights = G.projection_weights(8, 6, 24)
+    weights = G.projection_weights(100, 16, 24)
     rows = ", ".join(f"({t}, {[float(x) for x in w]}::DOUBLE[])" for t, w in weights.items())
     blocks = _blocks_sql("round(o, 9)", 16).replace("FROM codes)", "FROM pr)")
-    return _fixed_sql(23, 8, 6, f"wt(table_id, w) AS (VALUES {rows}), pr AS (SELECT codes.table_id, id, h, {PROJECTION} AS o FROM codes JOIN wt ON wt.table_id = codes.table_id), {blocks}, {graph_sql('kp')}")
+    return _fixed_sql(23, 100, 16, f"wt(table_id, w) AS (VALUES {rows}), pr AS (SELECT codes.table_id, id, h, {PROJECTION} AS o FROM codes JOIN wt ON wt.table_id = codes.table_id), {blocks}, {graph_sql('kp')}")
 
 
 @query(_graph_projection_sql())
 def graph_projection(spark, sf_dir):
-    return edges_out(G.build_graph("angular", points(spark, sf_dir), K, "projection", repetitions=8, hash_length=6, use_sketching=False))
+    return edges_out(G.build_graph("angular", points(spark, sf_dir), K, "projection", use_sketching=False))
 
 
 @query()
@@ -638,12 +647,46 @@ def graph_varying_repetitions(spark, sf_dir):
     return edges_out(G.build_graph("angular", points(spark, sf_dir), K, "varying_repetitions", recall=0.5, initial_hash_length=8))
 
 
-@query()
+def _round_sql(n: int, pairs: str) -> str:
+    """Graph g{n} of g{n - 1} and the pairs (i, j) of a named query."""
+    return f"""s{n} AS MATERIALIZED (SELECT i, j, {cos("a.vec", "b.vec")} AS sim FROM {pairs} JOIN pts a ON a.id = i JOIN pts b ON b.id = j),
+e{n} AS (SELECT i AS src, j AS dst, sim FROM s{n} UNION ALL SELECT j, i, sim FROM s{n} {f"UNION ALL SELECT src, dst, sim FROM g{n - 1}" if n else ""}), g{n} AS MATERIALIZED ({top_sql(f"e{n}")})"""
+
+
+def _equal_failure_sql(success: float = 0.1, recall: float = 0.5, bits: int = 24, seed: int = 27) -> str:
+    """Each round: a hash of its own, each point's length and sketch threshold from its k-th similarity."""
+    sk = ", ".join(f"({bit}, {r.tolist()}::DOUBLE[])" for bit, r in enumerate(SimHash(DIM, seed + 77).draw(16 * 64)[:64]))
+    parts = [PTS, Q15, f"skf(bit, r) AS (VALUES {sk})", "sk AS MATERIALIZED (SELECT id, sum(CASE WHEN list_dot_product(q, r) >= 0 THEN 1::HUGEINT << bit ELSE 0 END) AS w FROM q15, skf GROUP BY 1)"]
+    for n in range(1 + math.ceil(math.log(1 - recall) / math.log(1 - success))):
+        parts.append(codes_sql(SimHash(DIM, seed + n), Independent(1, bits)).replace("hp", f"hp{n}").replace("codes AS", f"c{n} AS MATERIALIZED"))
+        if n == 0:
+            parts.append(_blocks_sql("h", K + 1).replace("FROM codes)", "FROM c0)"))
+            parts.append(_round_sql(0, "kp"))
+            continue
+        p = PSIM.format(s="coalesce(sim, 0)")
+        length = f"greatest(0, least({bits}, CASE WHEN {p} >= 1 THEN {bits} WHEN {p} > 0 THEN round(ln({min(1.0, 2 * success)}) / ln({p}))::INT ELSE 0 END))"
+        parts.append(f"v{n} AS MATERIALIZED (SELECT c.id, h, w, {length} AS len, floor(64 * (1 - {p})) AS thr FROM c{n} c JOIN sk ON sk.id = c.id LEFT JOIN g{n - 1} g ON g.src = c.id AND rank = {K})")
+        parts.append(f"p{n} AS (SELECT DISTINCT least(a.id, b.id) AS i, greatest(a.id, b.id) AS j FROM v{n} a JOIN v{n} b ON a.h >> ({bits} - a.len) = b.h >> ({bits} - a.len) AND (b.h > a.h OR (b.h = a.h AND b.id > a.id)) WHERE bit_count(xor(a.w, b.w)) <= greatest(a.thr, b.thr))")
+        parts.append(_round_sql(n, f"p{n}"))
+    return f"WITH {', '.join(parts)} SELECT src, dst, round(sim, 6) AS sim, rank FROM g{n}"
+
+
+@query(_equal_failure_sql())
 def graph_equal_failure(spark, sf_dir):
-    return edges_out(G.build_graph("angular", points(spark, sf_dir), K, "equal_failure_prob", success_prob=0.3))
+    return edges_out(G.build_graph("angular", points(spark, sf_dir), K, "equal_failure_prob"))
 
 
-@query()
+def _descent_sql(rounds: int = 20) -> str:
+    start = RANDOM.replace(" + 9)", " + 26)")
+    parts = [PTS, start, "rp AS (SELECT DISTINCT least(src, dst) AS i, greatest(src, dst) AS j FROM rg)", _round_sql(0, "rp")]
+    for n in range(1, rounds + 1):
+        parts.append(f"a{n} AS MATERIALIZED (SELECT src AS c, dst AS v FROM g{n - 1} UNION SELECT dst, src FROM (SELECT *, row_number() OVER (PARTITION BY dst ORDER BY src) AS r FROM g{n - 1}) WHERE r <= {K})")
+        parts.append(f"p{n} AS (SELECT DISTINCT a.v AS i, b.v AS j FROM a{n} a JOIN a{n} b ON a.c = b.c AND a.v < b.v)")
+        parts.append(_round_sql(n, f"p{n}"))
+    return f"WITH {', '.join(parts)} SELECT src, dst, round(sim, 6) AS sim, rank FROM g{rounds}"
+
+
+@query(_descent_sql())
 def graph_nndescent(spark, sf_dir):
     return edges_out(G.build_graph("angular", points(spark, sf_dir), K, "nndescent"))
 
@@ -651,11 +694,11 @@ def graph_nndescent(spark, sf_dir):
 # ---- index
 
 
-@query(f"WITH {CODES} SELECT DISTINCT a.id AS src, b.id AS dst FROM codes a JOIN codes b ON a.table_id = b.table_id AND a.h >> 2 = b.h >> 2 WHERE a.id % 20 = 0")
+@query(f"WITH {PTS}, {Q15}, {codes_sql(SimHash(DIM, 61), Independent(8, 24))} SELECT DISTINCT a.id AS src, b.id AS dst FROM codes a JOIN codes b ON a.table_id = b.table_id AND a.h >> 20 = b.h >> 20 WHERE a.id % 20 = 0")
 def lsh_index_depth_candidates(spark, sf_dir):
-    c = codes(spark, sf_dir)
-    q = c.where("id % 20 = 0").select("table_id", F.col("id").alias("src"), F.shiftright("h", 2).alias("p"))
-    return q.join(c.select("table_id", F.col("id").alias("dst"), F.shiftright("h", 2).alias("p")), ["table_id", "p"]).select("src", "dst").distinct()
+    p = points(spark, sf_dir)
+    index = Index("angular", DIM, 8, "simhash", "independent", 61, "none").fit(p)
+    return index.candidates(index.hashed(_asked(p)), 4)
 
 
 @query(f"WITH {CODES}, m AS (SELECT a.id AS src, b.id AS dst, max(CASE WHEN a.h = b.h THEN 6 ELSE 5 - floor(log2(xor(a.h, b.h)))::BIGINT END) AS depth FROM codes a JOIN codes b ON a.table_id = b.table_id AND a.h >> 5 = b.h >> 5 WHERE a.id % 20 = 0 GROUP BY 1, 2) SELECT src, depth, count(*) AS count, (sum(count(*)) OVER (PARTITION BY src ORDER BY depth DESC))::BIGINT AS deeper FROM m GROUP BY 1, 2")
@@ -701,7 +744,7 @@ def rp_tree_votes(spark, sf_dir):
     return tree_votes(points(spark, sf_dir), DIM, 6, 40, 2, depth=6)
 
 
-@query()
+@query(f"WITH {PTS}, {RANDOM.replace(' + 9)', ' + 54)')}, e AS (SELECT src, dst, 0.5::DOUBLE AS sim FROM rg WHERE src % 20 = 0) {top_sql('e')}")
 def dummy_answers(spark, sf_dir):
     p = points(spark, sf_dir)
     return edges_out(Dummy().fit(p).query(_asked(p), K))
@@ -759,10 +802,11 @@ def best_of_runs(spark, sf_dir):
     return rounded(E.best_of(e), best_search_time=6, candidates=6)
 
 
-@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey AS id FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderpriority = '1-URGENT')")
 def missing_runs_antijoin(spark, sf_dir):
     d = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("id"))
-    return E.missing_runs(d, read(spark, sf_dir, "orders").select(F.col("o_custkey").alias("id")), ["id"])
+    done = read(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT'")
+    return E.missing_runs(d, done.select(F.col("o_custkey").alias("id")), ["id"])
 
 
 @query("SELECT k, length, source FROM (VALUES ('5'), ('10')) a(k), (VALUES ('8'), ('16'), ('24')) b(length), (VALUES ('pool'), ('tensor')) c(source)")
@@ -788,6 +832,43 @@ def topk_buffer(spark, sf_dir):
     return ints(topk(e, 3), "rank")
 
 
+@query(f"WITH {RUNS}, tot AS (SELECT sum(distance) AS s FROM truth), m AS (SELECT run_id, round(sum((distance <= t + 1e-10)::INT) / 300, 6) AS recall, round(sum((distance <= t * 1.01)::INT) / 300, 6) AS epsilon_001, round(sum((distance <= t * 1.1)::INT) / 300, 6) AS epsilon_01 FROM found JOIN kth USING (qid) GROUP BY 1), er AS (SELECT run_id, round(sum(distance) / (SELECT s FROM tot), 6) AS error FROM found GROUP BY 1) SELECT run_id, recall, epsilon_001, epsilon_01, error, round(1 / (p_retailprice / 1000), 6) AS qps, round(p_size * (p_retailprice / 1000), 6) AS size_per_qps FROM part LEFT JOIN m ON run_id = p_partkey LEFT JOIN er USING (run_id) WHERE run_id IS NOT NULL")
+def all_metrics(spark, sf_dir):
+    runs = read(spark, sf_dir, "part").select(F.col("p_partkey").alias("run_id"), F.col("p_brand").alias("algo"), (F.col("p_retailprice") / 1000).alias("best_search_time"), F.col("p_size").alias("index_size"))
+    m = E.all_metrics(*_runs(spark, sf_dir), runs, 3, 100).where("recall is not null").withColumnsRenamed({"epsilon_0.01": "epsilon_001", "epsilon_0.1": "epsilon_01"})
+    return rounded(m.select("run_id", "recall", "epsilon_001", "epsilon_01", "error", "qps", "size_per_qps"), recall=6, epsilon_001=6, epsilon_01=6, error=6, qps=6, size_per_qps=6)
+
+
+@query("WITH o AS (SELECT p_brand AS algo, row_number() OVER (PARTITION BY p_brand ORDER BY p_retailprice DESC, p_size DESC, p_partkey DESC) AS pos, p_partkey AS run_id FROM part) SELECT algo, pos, run_id FROM o")
+def metric_pairs(spark, sf_dir):
+    m = read(spark, sf_dir, "part").select(F.col("p_brand").alias("algo"), F.col("p_partkey").alias("run_id"), F.col("p_size").alias("x0"), F.col("p_retailprice").alias("y0"))
+    return E.metric_pairs(m, "x0", "y0").select("algo", F.posexplode("points").alias("pos", "p")).select("algo", (F.col("pos") + 1).cast("long").alias("pos"), "p.run_id")
+
+
+SAMPLE = "sm AS (SELECT id FROM pts ORDER BY md5('10:' || id::VARCHAR), id LIMIT 50)"
+
+
+@query(f"WITH {CODES}, {BUCKET}, {ALL_EDGES}, {SAMPLE}, x AS (SELECT * FROM ({top_sql('edges')}) WHERE src IN (SELECT id FROM sm)), sc AS (SELECT i, j, {cos('a.vec', 'b.vec')} AS sim FROM bp JOIN pts a ON a.id = i JOIN pts b ON b.id = j), bw AS (SELECT i AS src, j AS dst, sim FROM sc UNION ALL SELECT j, i, sim FROM sc), y AS ({top_sql('bw')}), f AS (SELECT x.src, count(y.dst) AS found FROM x LEFT JOIN y ON x.src = y.src AND x.dst = y.dst GROUP BY 1) SELECT g.found, count(f.src) AS queries FROM range(0, {K} + 1) g(found) LEFT JOIN f USING (found) GROUP BY 1")
+def sampled_recall(spark, sf_dir):
+    p = points(spark, sf_dir)
+    asked = E.sampled(p, 50)
+    approx = graph_of(score_pairs(C.bucket_pairs(codes(spark, sf_dir)), p), K)
+    return ints(E.recall_histogram(knn(asked, p, K, exclude_self=True), approx, K), "found")
+
+
+@query(f"WITH {CODES}, {BOUNDED.format(size=20)} SELECT d AS length, count(*) AS points, sum(h)::BIGINT AS updates FROM md GROUP BY 1")
+def hash_length_counts(spark, sf_dir):
+    return ints(E.by_length(C.bounded_depths(codes(spark, sf_dir), 20, 6).select(F.col("d").alias("length"), F.col("h").alias("updates"))), "length")
+
+
+@query("SELECT p_name AS name, p_partkey AS id FROM (SELECT * FROM part WHERE p_brand = (SELECT min(p_brand) FROM part) AND p_size <= 40) ORDER BY p_name, p_partkey LIMIT 20")
+def restricted_runs(spark, sf_dir):
+    part = read(spark, sf_dir, "part")
+    first = part.agg(F.min("p_brand")).first()[0]
+    d = part.select(F.struct("p_name", "p_partkey").alias("name"), F.col("p_brand").alias("algo"), F.col("p_type").alias("tag"), (F.col("p_size") > 40).alias("disabled"))
+    return E.restricted(d, first, most=20).select(F.col("name.p_name").alias("name"), F.col("name.p_partkey").alias("id"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -34,8 +34,9 @@ def read_bit_strings(spark: SparkSession, path: str, size: int = 256) -> DataFra
 
 
 def read_exact(spark: SparkSession, path: str) -> DataFrame:
-    """Files of k ids a line, the line being the query: (line, neighbors)."""
-    lines = spark.read.text(path).withColumn("line", F.monotonically_increasing_id())
+    """Files of k ids a line, the line being the query: (line, neighbors). Each file is one split, so lines keep their numbers."""
+    whole = spark.read.text(path, wholetext=True)
+    lines = whole.select(F.posexplode(F.split(F.regexp_replace("value", "\\r?\\n$", ""), "\\r?\\n")).alias("line", "value")).withColumn("line", F.col("line").cast("long"))
     return lines.select("line", F.transform(F.split(F.trim("value"), " +"), lambda x: x.cast("long")).alias("neighbors"))
 
 
