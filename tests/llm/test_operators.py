@@ -547,6 +547,25 @@ def test_packing_of_many_histograms():
             assert at <= 1024
 
 
+def best_fit_decreasing(lengths):
+    gaps, bins = Counter(), 0
+    for n in sorted(lengths, reverse=True):
+        gap = next((g for g in range(n, 1025) if gaps[g]), None)
+        if gap is None:
+            bins, gap = bins + 1, 1024
+        else:
+            gaps[gap] -= 1
+        gaps[gap - n] += 1
+    return bins
+
+
+@pytest.mark.parametrize("low, high, n", [(129, 1023, 3000), (1, 1024, 3000), (343, 699, 2000), (200, 400, 3000), (300, 360, 1000), (1, 128, 500)])
+def test_packing_is_not_worse_than_best_fit(low, high, n):
+    lengths = np.random.default_rng(low).integers(low, high + 1, n).tolist()
+    bins = packing.pack(dict(Counter(lengths)))[1]
+    assert -(-sum(lengths) // 1024) <= bins <= best_fit_decreasing(lengths)
+
+
 def test_both_tokenizers_agree():
     from public_tokenizers import path
     from tokenizers import Tokenizer

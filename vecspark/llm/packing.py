@@ -2,11 +2,14 @@
 
 Documents become token ids plus an end id; those longer than a sequence are cut into pieces, the first of which may be
 shorter. What the packing needs of the corpus is the histogram of piece lengths (at most LENGTH numbers). On it, large
-lengths are sorted, grouped into GROUPS groups of equal cardinality and rounded up to their group's largest; the few
-sizes are packed by configurations that fill a sequence best, each used as often as the counts allow. Then the actual
-lengths take the places, and small lengths go by best fit, longest first, into what is left. The result is a table of
-runs (length, first number, count, sequence, offset), bounded by the lengths and groups and not by the documents; a
-document's number among those of its length gives its place.
+lengths are sorted, grouped into groups of equal cardinality and rounded up to their group's largest; the few sizes are
+packed by configurations that fill a sequence best, each used as often as the counts allow. Then the actual lengths take
+the places, and small lengths go by best fit, longest first, into what is left, with large ones for which no configuration
+leaves little enough. The scheme is optimised over SCHEMES, the number of groups (up to one for each length) and what a
+configuration may leave; the one of fewest sequences is taken. With nothing left to configurations it is best fit of
+decreasing lengths, so the result is never worse than that. The result is a table of runs (length, first number, count,
+sequence, offset), bounded by the lengths and groups and not by the documents; a document's number among those of its
+length gives its place.
 """
 
 from __future__ import annotations
@@ -21,13 +24,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import cut, load
+from .common import cut, load, small_or_joined
 
 LENGTH = 1024
 END_ID = 2
 SMALL = 128
-GROUPS = 200
-SPLITS = 64
+#: Groups of large lengths (0: one for each length) and tokens that a configuration may leave (-1: no configurations).
+SCHEMES = ((200, LENGTH), (0, LENGTH), (0, 32), (0, 8), (0, -1))
+PART_ROWS = 1 << 16
 VOCABULARY = "byte_bpe_50k"
 
 _codecs: dict[str, tuple] = {}
@@ -133,11 +137,19 @@ def _fill(sizes: list[int], counts: list[int], room: int) -> list[int]:
     return out
 
 
-def pack(histogram: dict[int, int]) -> tuple[list[tuple[int, int, int, int, int, int]], int]:
-    """Runs (length, first number, bins, each, first bin, offset) and the number of bins.
+Runs = list[tuple[int, int, int, int, int, int]]
+
+
+def pack(histogram: dict[int, int]) -> tuple[Runs, int]:
+    """Runs (length, first number, bins, each, first bin, offset) and the number of bins, by the best of SCHEMES.
 
     Numbers first .. first + bins * each - 1 of a length stand in bins first bin .., each of them in a bin, from offset on.
     """
+    return min((packed(histogram, groups, slack) for groups, slack in SCHEMES), key=lambda found: found[1])
+
+
+def packed(histogram: dict[int, int], groups: int, slack: int) -> tuple[Runs, int]:
+    """The same by one scheme."""
     runs: list[tuple[int, int, int, int, int, int]] = []
     bins = 0
     gaps: dict[int, list[tuple[int, int]]] = {}  # free tokens -> (first bin, bins)
@@ -145,7 +157,7 @@ def pack(histogram: dict[int, int]) -> tuple[list[tuple[int, int, int, int, int,
         runs.append((LENGTH, 0, histogram[LENGTH], 1, 0, 0))
         bins = histogram[LENGTH]
     large = sorted(n for n, c in histogram.items() if SMALL < n < LENGTH and c)
-    per = max(1, -(-sum(histogram[n] for n in large) // GROUPS))
+    per = max(1, -(-sum(histogram[n] for n in large) // groups)) if groups else 0
     stocks: dict[int, _Stock] = {}
     group, held = [], 0
     done = {n: 0 for n in large}
@@ -156,6 +168,10 @@ def pack(histogram: dict[int, int]) -> tuple[list[tuple[int, int, int, int, int,
             stock.put(n, first, c)
 
     for n in large:
+        if not groups:
+            stocks[n] = _Stock()
+            stocks[n].put(n, 0, histogram[n])
+            continue
         while done[n] < histogram[n]:
             c = min(per - held, histogram[n] - done[n])
             group.append((n, done[n], c))
@@ -167,12 +183,19 @@ def pack(histogram: dict[int, int]) -> tuple[list[tuple[int, int, int, int, int,
     if group:
         close()
     sizes = sorted(stocks, reverse=True)
+    rest = [[n, 0, histogram[n]] for n in range(1, min(SMALL, LENGTH - 1) + 1) if histogram.get(n)]
     while sizes:
+        if slack < 0:
+            rest += stocks[sizes.pop(0)].segments
+            continue
         counts = [stocks[s].count for s in sizes]
         counts[0] -= 1
         used = _fill(sizes, counts, LENGTH - sizes[0])
         counts[0] += 1
         used[0] += 1
+        if LENGTH - sum(u * x for u, x in zip(used, sizes, strict=True)) > slack:
+            rest += stocks[sizes.pop(0)].segments
+            continue
         times = min(c // u for c, u in zip(counts, used, strict=True) if u)
         lanes = [stocks[s].take(times) for s, u in zip(sizes, used, strict=True) for _ in range(u)]
         where = [0] * len(lanes)
@@ -194,8 +217,7 @@ def pack(histogram: dict[int, int]) -> tuple[list[tuple[int, int, int, int, int,
             bins += k
             left -= k
         sizes = [s for s in sizes if stocks[s].count]
-    for n in range(min(SMALL, LENGTH - 1), 0, -1):
-        c, first = histogram.get(n, 0), 0
+    for n, first, c in sorted(rest, reverse=True):
         while c:
             gap = next((g for g in range(n, LENGTH + 1) if gaps.get(g)), None)
             if gap is None:
@@ -217,16 +239,18 @@ def pack(histogram: dict[int, int]) -> tuple[list[tuple[int, int, int, int, int,
 
 
 def place(cut_pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Adds sequence_id and offset to checkpointed pieces."""
+    """Adds sequence_id and offset to checkpointed pieces. Those of a length are numbered in parts of about PART_ROWS rows."""
     names = cut_pieces.columns
-    spread = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "piece", "ids_crc32"), F.lit(SPLITS)).cast("int")
+    histogram = {r["length"]: r["n"] for r in cut_pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most LENGTH rows
+    runs, _ = pack(histogram)
+    parts = F.element_at(F.lit([-(-histogram.get(n, 0) // PART_ROWS) or 1 for n in range(1, LENGTH + 1)]), F.col("length").cast("int"))
+    spread = F.pmod(F.xxhash64(F.coalesce(F.col(id_col).cast("string"), F.lit("")), "piece", "ids_crc32"), parts).cast("int")
     dealt = cut_pieces.withColumn("_part", spread)
-    counts = cut(dealt.groupBy("length", "_part").count())  # at most LENGTH * SPLITS rows
-    runs, _ = pack({r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()})
+    counts = cut(dealt.groupBy("length", "_part").count())  # a row for each PART_ROWS pieces, and one for each length
     before = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("length", "_part", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_first"))
     here = Window.partitionBy("length", "_part").orderBy(id_col, "piece", "ids_crc32")
-    numbered = dealt.withColumn("_n", F.row_number().over(here) - 1).join(F.broadcast(first), ["length", "_part"])
+    numbered = small_or_joined(dealt.withColumn("_n", F.row_number().over(here) - 1), first, ["length", "_part"], "inner")
     numbered = numbered.select(*names, (F.col("_n") + F.col("_first")).alias("_no"))
     by: dict[int, np.ndarray] = {}
     for n in {r[0] for r in runs}:
@@ -252,7 +276,8 @@ def place(cut_pieces: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def pack_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """One row for each piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
-    Null and empty texts are one piece, the end id alone. Rows of the same id are packed each for itself.
+    Null and empty texts are one piece, the end id alone. Rows of the same id are packed each for itself. Further columns
+    are ignored, whatever their names; an empty table gives an empty one.
     """
     return place(cut(pieces(docs, id_col, text_col, vocabulary)), id_col)
 
