@@ -24,7 +24,7 @@ from .common import BROADCAST_ROWS, SPACE_WORD, cut, hex_number, inside, load, r
 WEIGHTS = (5.0, 2.0, 1.0)
 CAP = 3
 BLOCK = 64
-SHARD_ROWS = 1 << 16
+SHARD_ROWS = 1 << 13
 SEED = 11
 #: Stride of the seeded rotation of a shard's blocks: a prime; a count that it divides falls back to 1.
 STRIDE = 1_000_003
