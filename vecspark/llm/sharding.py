@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_ROWS, hex_number, load
+from .common import BROADCAST_ROWS, cut, hex_number, load
 
 PART_ROWS = 1 << 16
 SEED = 7
@@ -55,14 +55,13 @@ def shard(docs: DataFrame, weights: Sequence[float], grown: Sequence[float] | No
     digest = F.md5(F.concat(F.lit(f"{SEED}:"), F.coalesce(F.col(id_col).cast("string"), F.lit("null"))))
     numbers = [hex_number(digest, 1, 7).alias("a"), hex_number(digest, 8, 7).alias("b"), (hex_number(digest, 15, 7) % parts).cast("int").alias("part")]
 
-    def placed(*more: Column) -> DataFrame:
-        df = docs.select(F.col(id_col).alias("id"), *more, *numbers)
-        return df.withColumn("best", _best(F.col("a"), F.col("b"), weights, range(n))).withColumn("shard", (-F.col("best.no")).cast("int"))
-
-    base = placed((F.octet_length(body) + 16).cast("long").alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"))
+    size = (F.octet_length(body) + 16).cast("long")
+    base = docs.select(F.col(id_col).alias("id"), size.alias("size"), F.crc32(F.encode(body, "UTF-8")).alias("text_crc32"), *numbers)
+    base = base.withColumn("best", _best(F.col("a"), F.col("b"), weights, range(n)))
     later = F.greatest(F.col("best"), _best(F.col("a"), F.col("b"), grown, range(n, len(grown)))) if grown and len(grown) > n else F.col("best")
-    base = base.withColumn("grown_shard", (-later["no"]).cast("int") if grown else F.lit(None).cast("int")).drop("a", "b", "best")
-    counts = placed().groupBy("shard", "part").agg(F.count("*").alias("rows"))
+    base = base.select("id", "size", "text_crc32", (-F.col("best.no")).cast("int").alias("shard"), "part", ((-later["no"]).cast("int") if grown else F.lit(None).cast("int")).alias("grown_shard"))
+    base = cut(base)  # a few numbers a row, so that shards are computed once
+    counts = base.groupBy("shard", "part").agg(F.count("*").alias("rows"))
     before = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     first = counts.select("shard", "part", F.coalesce(F.sum("rows").over(before), F.lit(0)).alias("first"))  # shards * parts rows
     here = Window.partitionBy("shard", "part").orderBy("id", "text_crc32", "size")
