@@ -1,16 +1,18 @@
 """License scans over a positional rare-token index.
 
-The index is built from the notices below: for each rare word (in at most RARE_DF notices, so of the highest IDF) the
-notices and positions where it stands. A file's rare licence words are looked up; each posting votes for the start
-(file position - notice position), so postings of one notice intersect by relative position. Starts with enough votes
-are verified: the notice's mandatory key phrase must stand at its place. All of it is one projection over the table:
-no shuffle and no Python.
+The index is built from the notices below, short statements and the operative passages of licence texts: of each notice
+the POSTINGS positions whose words have the highest IDF over all notices, by word. Common words are not in it, so what
+is looked up of a file are its highest-IDF licence words, at all their places. Each posting votes for the start (file
+position - notice position), so postings of one notice intersect by relative position. Starts with enough votes are
+verified: the notice's mandatory key phrase must stand at its place. All of it is one projection over the table: no
+shuffle and no Python.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -38,28 +40,37 @@ NOTICES = [
     ("cc-by-4.0", "licensed under cc by 4 0", "licensed under cc by 4 0"),
     ("cc", "licensed under a creative commons attribution license", "creative commons attribution license"),
     ("cc0", "creative commons public domain dedication cc0 1 0 universal license", "cc0 1 0 universal license"),
+    ("apache-2.0", "you may not use this file except in compliance with the license you may obtain a copy of the license at", "except in compliance with the license"),
+    ("apache-2.0", "unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied", "software distributed under the license is distributed on an as is basis"),
+    ("mit", "to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software", "merge publish distribute sublicense and or sell copies"),
+    ("bsd", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer redistributions in binary form must reproduce the above copyright notice", "redistributions of source code must retain the above copyright notice"),
+    ("gpl", "this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or at your option any later version", "gnu general public license as published by the free software foundation"),
+    ("lgpl", "you can redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation", "gnu lesser general public license as published"),
+    ("mpl-2.0", "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at", "source code form is subject to the terms of the mozilla public license"),
+    ("bsl-1.0", "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license", "accompanying documentation covered by this license"),
+    ("zlib", "this notice may not be removed or altered from any source distribution altered source versions must be plainly marked as such zlib license", "altered source versions must be plainly marked as such zlib license"),
+    ("wtfpl", "do what the fuck you want to public license everyone is permitted to copy and distribute verbatim or modified copies of this license document", "want to public license"),
     ("unlicense", "this is free and unencumbered software released into the public domain unlicense", "free and unencumbered software"),
 ]
 #: Every base phrase and mandatory phrase holds one of these, so texts without any have no label.
 HINTS = ("licens", "hereby", "redistribution", "unencumbered")
-RARE_DF = 6
+POSTINGS = 12
 MIN_VOTES = 0.6
 SHIFT = 1 << 40
 
 
 def index() -> tuple[dict[str, list[tuple[int, int]]], list[int]]:
-    """Postings (notice, position) of each rare word, and the number of rare postings of each notice."""
-    df: dict[str, int] = {}
-    for _, notice, _ in NOTICES:
-        for w in set(notice.split()):
-            df[w] = df.get(w, 0) + 1
+    """Postings (notice, position) of each indexed word, and the number of postings of each notice."""
+    texts = [notice.split() for _, notice, _ in NOTICES]
+    df = Counter(w for words in texts for w in set(words))
+    idf = {w: math.log(len(NOTICES) / n) for w, n in df.items() if re.search(r"[a-z]{2}", w)}
     postings: dict[str, list[tuple[int, int]]] = {}
-    sizes = [0] * len(NOTICES)
-    for no, (_, notice, _) in enumerate(NOTICES):
-        for at, w in enumerate(notice.split()):
-            if df[w] <= RARE_DF and math.log(len(NOTICES) / df[w]) > 0 and re.search(r"[a-z]{2}", w):
-                postings.setdefault(w, []).append((no, at))
-                sizes[no] += 1
+    sizes = []
+    for no, words in enumerate(texts):
+        ranked = sorted((at for at, w in enumerate(words) if idf.get(w, 0) > 0), key=lambda at: (-idf[words[at]], at))[:POSTINGS]
+        sizes.append(len(ranked))
+        for at in sorted(ranked):
+            postings.setdefault(words[at], []).append((no, at))
     return postings, sizes
 
 
@@ -67,7 +78,8 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """One row for each input row: id, n_words, n_base, first_word, last_word, base_labels, labels, score.
 
     Null texts count as empty: no words, no labels, score 0. Repeated rows are scanned each for itself. The score is
-    the largest share of a verified notice's rare postings that voted, 1 for a base phrase, else 0.
+    the largest share of a verified notice's postings that voted, 1 for a base phrase, else 0. Further columns are
+    ignored, whatever their names; an empty table gives an empty one.
     """
     postings, sizes = index()
     none = F.array().cast("array<bigint>")

@@ -18,9 +18,9 @@ def license_sql() -> str:
 WITH notices(no, label, words, phrase) AS (VALUES
   {notices}),
 spots AS (SELECT no, unnest(words) AS word, unnest(range(len(words))) AS pos FROM notices),
-rare AS (SELECT word FROM spots GROUP BY 1 HAVING count(DISTINCT no) <= {license_scans.RARE_DF}
-  AND count(DISTINCT no) < {len(license_scans.NOTICES)} AND regexp_matches(word, '[a-z]{{2}}')),
-postings AS (SELECT no, word, pos FROM spots SEMI JOIN rare USING (word)),
+df AS (SELECT word, count(DISTINCT no) AS df FROM spots GROUP BY 1),
+postings AS (SELECT no, word, pos FROM (SELECT *, row_number() OVER (PARTITION BY no ORDER BY df, pos) AS r FROM spots JOIN df USING (word)
+  WHERE df < {len(license_scans.NOTICES)} AND regexp_matches(word, '[a-z]{{2}}')) WHERE r <= {license_scans.POSTINGS}),
 sizes AS (SELECT no, count(*) AS size FROM postings GROUP BY 1),
 places AS (SELECT no, label, phrase, list_min(list_filter(range(len(words)), lambda i: words[i + 1 : i + len(phrase)] = phrase)) AS rel FROM notices),
 low AS (SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low FROM documents),
