@@ -7,11 +7,14 @@ place. The rounds, each of them a shuffle by rank in which ranks that turn out u
 1. Samples are ranked by their GRAM-byte string (batches of documents send their distinct ranks as packed blocks).
 2. Samples of ranks that several documents have are ranked again with what stands around them: the pairs (rank of the
    string with x bytes to the left, rank of it with y bytes to the right) are sorted at growing offsets x and y up to the
-   threshold, and each pair past it gets its least document.
-3. Documents get their samples' verdicts back and lose the bytes of all windows that an earlier document has.
-
-Occurrences with equal surroundings are collapsed in each batch before they are shuffled, so a passage that stands in
-very many documents sends one row a batch. Memory follows one batch (documents / BATCHES) and one bucket of ranks.
+   threshold, and each pair past it gets its least document. Where more than `hot` documents have a rank, its pairs
+   are spread by their own hash instead of meeting in the rank's bucket.
+3. Documents find their samples again, get the verdicts on them and lose the bytes of all windows that an earlier
+   document has.
+
+Batches send each distinct surrounding once, with its least document; where it stands is found again at home. A passage
+that stands in all documents is thus one row a batch inside, and at its edges, where surroundings differ, one row a
+document and offset, spread over all tasks. Memory follows one batch (documents / BATCHES) and one bucket of ranks.
 The documents are shuffled once; the rounds read the same exchange.
 """
 
@@ -34,6 +37,8 @@ SIDE = THRESHOLD - GRAM
 CHUNK = 1 << 17
 #: Batches of documents for each shuffle partition.
 BATCHES = 4
+#: Documents that have a rank beyond which its windows are spread over the buckets one by one.
+HOT = 1 << 16
 LAST = 2**63 - 1
 
 _rng = np.random.default_rng(17)
@@ -107,24 +112,29 @@ def _documents(table: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray, np
 
 
 def _first_round(table: pa.Table, buckets: int) -> pa.Table:
-    """(bucket, batch, ranks, several): the batch's distinct ranks, and whether several of its documents have them."""
+    """(bucket, batch, ranks, documents): the batch's distinct ranks, and how many of its documents have them."""
     batch = table.column("batch")[0].as_py()
     _, keys, buf, ends = _documents(table)
     at, rank = samples(buf, ends)
-    doc = keys[np.searchsorted(ends, at, "right")]
-    order = np.argsort(rank, kind="stable")
-    rank, doc = rank[order], doc[order]
-    start = np.nonzero(np.concatenate(([True], rank[1:] != rank[:-1])))[0] if len(rank) else np.empty(0, np.int64)
-    several = np.minimum.reduceat(doc, start) != np.maximum.reduceat(doc, start) if len(start) else np.empty(0, bool)
-    rank = rank[start]
-    bucket = _bucket(rank, buckets)
-    out = {"bucket": [], "batch": [], "ranks": [], "several": []}
-    for b, rows in _split(bucket):
+    rank, count = _documents_of(rank, keys[np.searchsorted(ends, at, "right")])
+    out = {"bucket": [], "batch": [], "ranks": [], "documents": []}
+    for b, rows in _split(_bucket(rank, buckets)):
         out["bucket"].append(b)
         out["batch"].append(batch)
         out["ranks"].append(rank[rows].tobytes())
-        out["several"].append(np.packbits(several[rows]).tobytes())
-    return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("ranks", pa.binary()), ("several", pa.binary())]))
+        out["documents"].append(np.minimum(count[rows], 65535).astype("<u2").tobytes())
+    return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("ranks", pa.binary()), ("documents", pa.binary())]))
+
+
+def _documents_of(rank: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ranks, ascending, and the number of distinct documents of each."""
+    order = np.lexsort((doc, rank))
+    rank, doc = rank[order], doc[order]
+    new_rank = np.concatenate((np.ones(min(len(rank), 1), bool), rank[1:] != rank[:-1]))
+    new_doc = new_rank.copy()
+    new_doc[1:] |= doc[1:] != doc[:-1]
+    start = np.nonzero(new_rank)[0]
+    return rank[start], np.add.reduceat(new_doc.astype(np.int64), start) if len(start) else np.empty(0, np.int64)
 
 
 def _bucket(rank: np.ndarray, buckets: int) -> np.ndarray:
@@ -142,25 +152,24 @@ def _split(bucket: np.ndarray):
         yield int(b[lo]), order[lo:hi]
 
 
-def _repeated(table: pa.Table) -> pa.Table:
-    """(batch, ranks): what of each batch's ranks other documents have too."""
+def _repeated(table: pa.Table, hot: int) -> pa.Table:
+    """(batch, ranks, hot): what of each batch's ranks other documents have too, and whether over `hot` documents do."""
     ranks = [np.frombuffer(x, np.uint64) for x in table.column("ranks").to_pylist()]
-    several = [np.unpackbits(np.frombuffer(x, np.uint8))[: len(r)].astype(bool) for x, r in zip(table.column("several").to_pylist(), ranks, strict=True)]
     owner = np.repeat(np.arange(len(ranks), dtype=np.int32), [len(r) for r in ranks])
-    rank, more = np.concatenate(ranks), np.concatenate(several)
+    rank = np.concatenate(ranks)
+    count = np.concatenate([np.frombuffer(x, "<u2") for x in table.column("documents").to_pylist()]).astype(np.int64)
     order = np.argsort(rank, kind="stable")
-    rank, more, owner = rank[order], more[order], owner[order]
-    same = rank[1:] == rank[:-1]
-    hit = more.copy()
-    hit[1:] |= same
-    hit[:-1] |= same
-    # a rank that several documents of one batch have is met once in it
+    rank, count, owner = rank[order], count[order], owner[order]
+    new = np.concatenate(([True], rank[1:] != rank[:-1]))
+    total = np.add.reduceat(count, np.nonzero(new)[0])[np.cumsum(new) - 1]
+    hit = np.nonzero(total > 1)[0]
     batches = table.column("batch").to_pylist()
-    out = {"batch": [], "ranks": []}
+    out = {"batch": [], "ranks": [], "hot": []}
     for o, rows in _split(owner[hit]):
         out["batch"].append(batches[o])
-        out["ranks"].append(rank[hit][rows].tobytes())
-    return pa.table(out, schema=pa.schema([("batch", pa.int32()), ("ranks", pa.binary())]))
+        out["ranks"].append(rank[hit[rows]].tobytes())
+        out["hot"].append((total[hit[rows]] > hot).tobytes())
+    return pa.table(out, schema=pa.schema([("batch", pa.int32()), ("ranks", pa.binary()), ("hot", pa.binary())]))
 
 
 def _packed(a: np.ndarray) -> bytes:
@@ -199,22 +208,16 @@ def _sides(buf: np.ndarray, at: np.ndarray, begin: np.ndarray, end: np.ndarray)
 
 
 CONTEXT = np.dtype([("rank", "<u8"), ("second", "<u4"), ("sizes", "u1", 2), ("left", "u1", SIDE), ("right", "u1", SIDE)])
-PLACE = np.dtype([("key", "<i8"), ("row", "<u4"), ("at", "<u4")])
-VERDICT = np.dtype([("row", "<u4"), ("at", "<u4"), ("windows", "<u4")])
+FIRST = np.dtype([("key", "<i8")])
+#: A window around a hot sample, the least of the batch's documents that have it, and whether several do.
+HELD = np.dtype([("rank", "<u8"), ("window", "<u8"), ("key", "<i8"), ("several", "u1")])
+#: Verdicts that return: bits of the offsets for a context, and the least document of a hot window.
+SAID = np.dtype([("rank", "<u4"), ("context", "<u8"), ("offsets", "<u4")])
+SEEN = np.dtype([("rank", "<u4"), ("window", "<u8"), ("key", "<i8")])
 
 
-def _second_round(docs: pa.Table, held: pa.Table, buckets: int) -> pa.Table:
-    """(bucket, batch, contexts, counts, places): distinct surroundings of the samples with repeated ranks, and where they stand."""
-    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("contexts", pa.binary()), ("counts", pa.binary()), ("places", pa.binary())])
-    if not held.num_rows or not docs.num_rows:
-        return schema.empty_table()
-    wanted = np.sort(np.frombuffer(b"".join(held.column("ranks").to_pylist()), np.uint64))
-    _, keys, buf, ends = _documents(docs)
-    at, rank = samples(buf, ends)
-    found = wanted[np.minimum(np.searchsorted(wanted, rank), len(wanted) - 1)] == rank
-    at, rank = at[found], rank[found]
+def _contexts(buf: np.ndarray, ends: np.ndarray, at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     row = np.searchsorted(ends, at, "right")
-    begin = np.concatenate(([0], ends[:-1]))[row]
     ctx = np.zeros(len(at), CONTEXT)
     ctx["rank"] = rank
     with np.errstate(over="ignore"):
@@ -222,24 +225,102 @@ def _second_round(docs: pa.Table, held: pa.Table, buckets: int) -> pa.Table:
         for i in range(GRAM):
             second = second * _MULT + _SECOND[i][buf[at + i]]
         ctx["second"] = second >> np.uint64(32)
-    left, right, ctx["sizes"][:, 0], ctx["sizes"][:, 1] = _sides(buf, at, begin, ends[row])
-    ctx["left"], ctx["right"] = left, right
-    place = np.zeros(len(at), PLACE)
-    place["key"], place["row"], place["at"] = keys[row], row, at - begin
-    out = {n: [] for n in schema.names}
+    begin = np.concatenate(([0], ends[:-1])).astype(np.int64)[row]
+    ctx["left"], ctx["right"], ctx["sizes"][:, 0], ctx["sizes"][:, 1] = _sides(buf, at, begin, ends[row])
+    return ctx
+
+
+def _distinct(ctx: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct contexts, each row's number among them, and each one's least key."""
+    raw, which = np.unique(ctx.view(f"V{CONTEXT.itemsize}"), return_inverse=True)
+    least = np.full(len(raw), LAST, np.int64)
+    np.minimum.at(least, which, keys)
+    return np.frombuffer(raw.tobytes(), CONTEXT), which, least
+
+
+def _mix(h: np.ndarray, value: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        h = (h ^ value.astype(np.uint64)) * _MULT
+        return h ^ (h >> np.uint64(29))
+
+
+def _hash(ctx: np.ndarray) -> np.ndarray:
+    words = np.ascontiguousarray(ctx).view("<u8").reshape(len(ctx), CONTEXT.itemsize // 8)
+    h = np.full(len(ctx), 1, np.uint64)
+    for i in range(words.shape[1]):
+        h = _mix(h, words[:, i])
+    return _mix(h, h >> np.uint64(32))
+
+
+def _windows(ctx: np.ndarray):
+    """(offset x, contexts that have x bytes to the left and SIDE - x to the right, hash of their window)."""
+    left = [_mix(ctx["rank"].astype(np.uint64), ctx["second"])]
+    right = [np.full(len(ctx), 2, np.uint64)]
+    with np.errstate(over="ignore"):
+        for i in range(SIDE):
+            left.append(_mix(left[-1] * _MULT, ctx["left"][:, i]))
+            right.append(_mix(right[-1] * _MULT, ctx["right"][:, i]))
+    for x in range(SIDE + 1):
+        ok = np.nonzero((ctx["sizes"][:, 0] >= x) & (ctx["sizes"][:, 1] >= SIDE - x))[0]
+        yield x, ok, _mix(_mix(left[x][ok], right[SIDE - x][ok]), np.uint64(x))
+
+
+def _whole(ctx: np.ndarray) -> np.ndarray:
+    """Bits of all offsets whose window lies inside the document."""
+    bits = np.zeros(len(ctx), np.uint32)
+    for x in range(SIDE + 1):
+        bits[(ctx["sizes"][:, 0] >= x) & (ctx["sizes"][:, 1] >= SIDE - x)] |= np.uint32(1 << x)
+    return bits
+
+
+def _second_round(docs: pa.Table, held: pa.Table, buckets: int) -> pa.Table:
+    """(bucket, batch, contexts, firsts, windows): distinct surroundings of the samples with repeated ranks and their least documents.
+
+    A hot rank's surroundings go out window by window, each to the bucket of its own hash, so they never meet in one task.
+    """
+    schema = pa.schema([("bucket", pa.int32()), ("batch", pa.int32()), ("contexts", pa.binary()), ("firsts", pa.binary()), ("windows", pa.binary())])
+    if not held.num_rows or not docs.num_rows:
+        return schema.empty_table()
+    wanted = np.frombuffer(b"".join(held.column("ranks").to_pylist()), np.uint64)
+    hot = np.frombuffer(b"".join(held.column("hot").to_pylist()), bool)
+    order = np.argsort(wanted)
+    wanted, hot = wanted[order], hot[order]
+    _, keys, buf, ends = _documents(docs)
+    at, rank = samples(buf, ends)
+    place = np.minimum(np.searchsorted(wanted, rank), len(wanted) - 1)
+    found = wanted[place] == rank
+    at, rank, place = at[found], rank[found], place[found]
+    key = keys[np.searchsorted(ends, at, "right")]
+    ctx = _contexts(buf, ends, at, rank)
     batch = docs.column("batch")[0].as_py()
-    for b, rows in _split(_bucket(rank, buckets)):
-        raw = ctx[rows].view(f"V{CONTEXT.itemsize}")
-        _, first, which = np.unique(raw, return_index=True, return_inverse=True)
-        order = np.argsort(which, kind="stable")
-        out["bucket"].append(b)
-        out["batch"].append(batch)
-        out["contexts"].append(_packed(ctx[rows][first]))
-        out["counts"].append(np.bincount(which, minlength=len(first)).astype("<u4").tobytes())
-        out["places"].append(_packed(place[rows][order]))
+    out = {n: [] for n in schema.names}
+    cold, _, first = _distinct(ctx[~hot[place]], key[~hot[place]])
+    for b, rows in _split(_bucket(cold["rank"], buckets)):
+        firsts = np.zeros(len(rows), FIRST)
+        firsts["key"] = first[rows]
+        for name, value in zip(schema.names, (b, batch, _packed(cold[rows]), _packed(firsts), b""), strict=True):
+            out[name].append(value)
+    for b, rows in _held(ctx[hot[place]], key[hot[place]], buckets):
+        for name, value in zip(schema.names, (b, batch, b"", b"", _packed(rows)), strict=True):
+            out[name].append(value)
     return pa.table(out, schema=schema)
 
 
+def _held(ctx: np.ndarray, key: np.ndarray, buckets: int):
+    """Each bucket and its HELD windows, offset by offset."""
+    for _, ok, window in _windows(ctx):
+        order = np.lexsort((key[ok], window))
+        w, k, r = window[order], key[ok][order], ctx["rank"][ok][order]
+        start = np.nonzero(np.concatenate((np.ones(min(len(w), 1), bool), w[1:] != w[:-1])))[0]
+        if not len(start):
+            continue
+        rows = np.zeros(len(start), HELD)
+        rows["rank"], rows["window"], rows["key"] = r[start], w[start], k[start]
+        rows["several"] = np.maximum.reduceat(k, start) > k[start]
+        for b, part in _split(_bucket(rows["window"], buckets)):
+            yield b, rows[part]
+
+
 def _rerank(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Ranks of the pairs (a, b) in their order."""
     order = np.lexsort((b, a))
@@ -257,58 +338,117 @@ def _least(classes: np.ndarray, values: np.ndarray) -> np.ndarray:
 
 
 def _verdicts(table: pa.Table) -> pa.Table:
-    """(batch, verdicts): for each place the bits of the offsets x whose window (x bytes to the left) an earlier document has."""
-    schema = pa.schema([("batch", pa.int32()), ("verdicts", pa.binary())])
-    blocks = [_unpacked(x, CONTEXT) for x in table.column("contexts").to_pylist()]
-    counts = [np.frombuffer(x, "<u4") for x in table.column("counts").to_pylist()]
-    places = np.concatenate([_unpacked(x, PLACE) for x in table.column("places").to_pylist()])
-    owner = np.repeat(np.arange(len(blocks)), [int(c.sum()) for c in counts])
-    block, count = np.concatenate(blocks), np.concatenate(counts)
-    ctx, which = np.unique(block.view(f"V{CONTEXT.itemsize}"), return_inverse=True)
-    ctx = np.frombuffer(ctx.tobytes(), CONTEXT)
-    of = np.repeat(which, count)
+    """(batch, said, seen): for each context of a batch the offsets x whose window an earlier document has, and hot windows' least documents."""
+    schema = pa.schema([("batch", pa.int32()), ("said", pa.binary()), ("seen", pa.binary())])
+    out = {n: [] for n in schema.names}
+    batches = table.column("batch").to_pylist()
+    for o, rows in _said(table):
+        for name, value in zip(schema.names, (batches[o], _packed(rows), b""), strict=True):
+            out[name].append(value)
+    for o, rows in _seen(table):
+        for name, value in zip(schema.names, (batches[o], b"", _packed(rows)), strict=True):
+            out[name].append(value)
+    return pa.table(out, schema=schema)
+
+
+def _blocks(table: pa.Table, name: str, kind: np.dtype) -> tuple[np.ndarray, np.ndarray]:
+    """A column's blocks joined, and the table row that each of their rows comes from."""
+    raw = [(i, _unpacked(x, kind)) for i, x in enumerate(table.column(name).to_pylist()) if x]
+    owner = np.repeat(np.array([i for i, _ in raw], np.int32), [len(x) for _, x in raw])
+    return np.concatenate([x for _, x in raw]) if raw else np.empty(0, kind), owner
+
+
+def _said(table: pa.Table):
+    """Each table row with contexts and its SAID rows."""
+    blocks, owner = _blocks(table, "contexts", CONTEXT)
+    firsts, _ = _blocks(table, "firsts", FIRST)
+    if not len(blocks):
+        return
+    ctx, of, first = _distinct(blocks, firsts["key"])
     n = len(ctx)
-    first = np.full(n, LAST, np.int64)
-    np.minimum.at(first, of, places["key"])
-    several = np.full(n, -1, np.int64)
-    np.maximum.at(several, of, places["key"])
     # ranks with 0 .. SIDE bytes to either side; a pair (x to the left, SIDE - x to the right) is past the threshold
     start = _rerank(ctx["rank"].astype(np.uint64), ctx["second"])
     lefts, rights = [start], [start]
     for i in range(SIDE):
         lefts.append(_rerank(lefts[-1], ctx["left"][:, i]))
         rights.append(_rerank(rights[-1], ctx["right"][:, i]))
-    whole = np.zeros(n, np.uint32)
     earlier = np.zeros(n, np.uint32)
     for x in range(SIDE + 1):
         ok = np.nonzero((ctx["sizes"][:, 0] >= x) & (ctx["sizes"][:, 1] >= SIDE - x))[0]
-        if not len(ok):
-            continue
-        whole[ok] |= np.uint32(1 << x)
-        least = _least(_rerank(lefts[x][ok], rights[SIDE - x][ok]), first[ok])
-        earlier[ok[least < first[ok]]] |= np.uint32(1 << x)
-    said = np.where(places["key"] > first[of], whole[of], earlier[of])
-    out = {"batch": [], "verdicts": []}
-    batches = table.column("batch").to_pylist()
+        if len(ok):
+            least = _least(_rerank(lefts[x][ok], rights[SIDE - x][ok]), first[ok])
+            earlier[ok[least < first[ok]]] |= np.uint32(1 << x)
+    said = np.where(firsts["key"] > first[of], _whole(ctx)[of], earlier[of])
+    code = _hash(ctx)[of]
     hit = np.nonzero(said)[0]
-    for o, rows in _split(owner[hit].astype(np.int32)):
+    for o, rows in _split(owner[hit]):
         rows = hit[rows]
-        v = np.zeros(len(rows), VERDICT)
-        v["row"], v["at"], v["windows"] = places["row"][rows], places["at"][rows], said[rows]
-        out["batch"].append(batches[o])
-        out["verdicts"].append(_packed(v))
-    return pa.table(out, schema=schema)
+        v = np.zeros(len(rows), SAID)
+        v["rank"], v["context"], v["offsets"] = blocks["rank"][rows].astype(np.uint32), code[rows], said[rows]
+        yield o, v
+
+
+def _seen(table: pa.Table):
+    """Each table row with hot windows and its SEEN rows."""
+    w, owner = _blocks(table, "windows", HELD)
+    order = np.argsort(w["window"], kind="stable")
+    w, owner = w[order], owner[order]
+    if not len(w):
+        return
+    new = np.concatenate(([True], w["window"][1:] != w["window"][:-1]))
+    least = np.minimum.reduceat(w["key"], np.nonzero(new)[0])[np.cumsum(new) - 1]
+    hit = np.nonzero((w["several"] > 0) | (w["key"] > least))[0]
+    for o, rows in _split(owner[hit]):
+        rows = hit[rows]
+        v = np.zeros(len(rows), SEEN)
+        v["rank"], v["window"], v["key"] = w["rank"][rows].astype(np.uint32), w["window"][rows], least[rows]
+        yield o, v
+
+
+def _found(among: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of values that stand in the sorted `among`, and where."""
+    if not len(among) or not len(values):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    at = np.minimum(np.searchsorted(among, values), len(among) - 1)
+    rows = np.nonzero(among[at] == values)[0]
+    return rows, at[rows]
+
+
+def _repeated_windows(held: pa.Table, keys: np.ndarray, buf: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The samples that verdicts speak of, found again, and the bits of the offsets whose window an earlier document has."""
+    at, rank = samples(buf, ends)
+    said, _ = _blocks(held, "said", SAID)
+    seen, _ = _blocks(held, "seen", SEEN)
+    said, seen = said[np.argsort(said["context"])], seen[np.argsort(seen["window"])]
+    low = rank.astype(np.uint32)
+    ranks, count = _documents_of(rank, keys[np.searchsorted(ends, at, "right")])
+    need = np.isin(low, said["rank"]) | np.isin(low, seen["rank"]) | (count[np.searchsorted(ranks, rank)] > 1)
+    at, rank = at[need], rank[need]
+    key = keys[np.searchsorted(ends, at, "right")]
+    ctx, which, first = _distinct(_contexts(buf, ends, at, rank), key)
+    # of equal contexts in a batch the first document has all windows of the others
+    bits = np.where(key > first[which], _whole(ctx)[which], np.uint32(0))
+    rows, where = _found(said["context"], _hash(ctx))
+    offsets = np.zeros(len(ctx), np.uint32)
+    offsets[rows] = said["offsets"][where]
+    bits |= offsets[which]
+    hot = np.nonzero(np.isin(ctx["rank"].astype(np.uint32), seen["rank"]))[0]
+    for x, ok, window in _windows(ctx[hot]):
+        rows, where = _found(seen["window"], window)
+        least = np.full(len(ctx), LAST, np.int64)
+        least[hot[ok[rows]]] = seen["key"][where]
+        bits[key > least[which]] |= np.uint32(1 << x)
+    return at, bits
 
 
 def _removed(docs: pa.Table, held: pa.Table) -> pa.Table:
     """(key, n_bytes, n_removed, n_spans, kept): each document of a batch without the bytes of its repeated windows."""
     bodies, keys, buf, ends = _documents(docs)
     change = np.zeros(len(buf) + 1, np.int32)
-    if held.num_rows:
-        v = np.concatenate([_unpacked(x, VERDICT) for x in held.column("verdicts").to_pylist()])
-        at = v["at"].astype(np.int64) + np.concatenate(([0], ends[:-1]))[v["row"]]
+    if len(buf) >= THRESHOLD:
+        at, bits = _repeated_windows(held, keys, buf, ends)
         for x in range(SIDE + 1):
-            p = at[(v["windows"] >> np.uint32(x)) & np.uint32(1) == 1] - x
+            p = at[(bits >> np.uint32(x)) & np.uint32(1) == 1] - x
             np.add.at(change, p, 1)
             np.add.at(change, p + THRESHOLD, -1)
     gone = np.cumsum(change[:-1]) > 0
@@ -324,7 +464,7 @@ def _removed(docs: pa.Table, held: pa.Table) -> pa.Table:
     return pa.table(out, schema=pa.schema([("key", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.int64()), ("n_spans", pa.int64()), ("kept_sha256", pa.string())]))
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hot: int = HOT) -> DataFrame:
     """One row for each input row: id, n_bytes, n_removed, n_spans, kept_sha256.
 
     Null texts count as empty, and a null id as greater than any other. Rows of the same id never make each other lose
@@ -336,10 +476,10 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     body = F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8")
     rows = docs.select(F.pmod(F.xxhash64(key), F.lit(parts * BATCHES)).cast("int").alias("batch"), key.alias("key"), body.alias("body"))
     by_batch = rows.groupBy("batch")
-    ranks = by_batch.applyInArrow(lambda t: _first_round(t, parts), "bucket int, batch int, ranks binary, several binary")
-    repeated = ranks.groupBy("bucket").applyInArrow(_repeated, "batch int, ranks binary")
-    second = by_batch.cogroup(repeated.groupBy("batch")).applyInArrow(lambda a, b: _second_round(a, b, parts), "bucket int, batch int, contexts binary, counts binary, places binary")
-    said = second.groupBy("bucket").applyInArrow(_verdicts, "batch int, verdicts binary")
+    ranks = by_batch.applyInArrow(lambda t: _first_round(t, parts), "bucket int, batch int, ranks binary, documents binary")
+    repeated = ranks.groupBy("bucket").applyInArrow(lambda t: _repeated(t, hot), "batch int, ranks binary, hot binary")
+    second = by_batch.cogroup(repeated.groupBy("batch")).applyInArrow(lambda a, b: _second_round(a, b, parts), "bucket int, batch int, contexts binary, firsts binary, windows binary")
+    said = second.groupBy("bucket").applyInArrow(_verdicts, "batch int, said binary, seen binary")
     out = by_batch.cogroup(said.groupBy("batch")).applyInArrow(_removed, "key long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
     back = F.when(F.col("key") < LAST, F.col("key")).cast(docs.schema[id_col].dataType)
     return out.select(back.alias(id_col), "n_bytes", "n_removed", "n_spans", "kept_sha256")
