@@ -391,11 +391,11 @@ def _said(table: pa.Table):
 def _seen(table: pa.Table):
     """Each table row with hot windows and its SEEN rows."""
     w, owner = _blocks(table, "windows", HELD)
-    order = np.argsort(w["window"], kind="stable")
+    order = np.lexsort((w["rank"], w["window"]))
     w, owner = w[order], owner[order]
     if not len(w):
         return
-    new = np.concatenate(([True], w["window"][1:] != w["window"][:-1]))
+    new = np.concatenate(([True], (w["window"][1:] != w["window"][:-1]) | (w["rank"][1:] != w["rank"][:-1])))
     least = np.minimum.reduceat(w["key"], np.nonzero(new)[0])[np.cumsum(new) - 1]
     hit = np.nonzero((w["several"] > 0) | (w["key"] > least))[0]
     for o, rows in _split(owner[hit]):
