@@ -12,6 +12,8 @@ UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 SPACE_WORD = r"[^\x20\x09-\x0D]+"
 #: A side is broadcast only when it was counted and has no more rows than this.
 BROADCAST_ROWS = 50_000
+#: A key with more than one in HOT_KEYS of all rows is hot; there are fewer than HOT_KEYS of them, whatever the input.
+HOT_KEYS = 1 << 14
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -82,6 +84,18 @@ def small_or_joined(big: DataFrame, side: DataFrame, on: list[str], how: str) ->
     return big.join(side, on, how)
 
 
+def join_counted(big: DataFrame, side: DataFrame, on: list[str], rows: int) -> DataFrame:
+    """Inner join with side, which is unique by on; its column n, which goes, counts big's rows of each key. rows: all of big's.
+
+    Hot keys are broadcast, being fewer than HOT_KEYS, and their rows stay where they are. Rows of the other keys are
+    dealt by key, and no key has more than one in HOT_KEYS of them. Both sides must be checkpointed: they are read twice.
+    """
+    is_hot = F.col("n") > rows // HOT_KEYS
+    hot = F.broadcast(side.where(is_hot).drop("n"))
+    rest = big.join(F.broadcast(side.where(is_hot).select(*on)), on, "left_anti").join(side.where(~is_hot).drop("n"), on)
+    return big.join(hot, on).unionByName(rest)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """Connected components of edges (a, b), both bigint: one row (node, root) for each node that has an edge.
 

@@ -11,8 +11,7 @@ the same line, so every run of WORDS words that stands twice has a fingerprint i
    surroundings never hides a match. Lines of later windows are deleted.
 
 Everything is SQL functions. Counts and first positions are aggregated before they are joined, always on a unique side.
-A hot line or passage makes the large side of such a join skewed; it is not aggregated by that key afterwards, so
-adaptive execution may split it.
+Rows of a hot line or passage are not dealt by it: their keys, a bounded number, are broadcast instead.
 """
 
 from __future__ import annotations
@@ -20,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE_WORD, cut, inside, load
+from .common import SPACE_WORD, cut, inside, join_counted, load
 
 WORDS = 50
 #: Lines that are looked at first; windows of more lines take a second look at WORDS lines.
@@ -90,10 +89,11 @@ def minima(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 def repeats(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, gone): which of each document's lines with a word are in a later repeated run."""
     prints = cut(minima(docs, id_col, text_col))
-    shared = prints.groupBy("low").agg(F.count("*").alias("n")).where("n > 1").select("low")
-    held = cut(prints.join(shared, "low", "left_semi").select("id", "low", F.explode("spans").alias("x")).select("id", "low", "x.*"))
-    first = held.groupBy("low", "whole").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1").select("low", "whole", "f")
-    found = held.join(first, ["low", "whole"])
+    shared = cut(prints.groupBy("low").agg(F.count("*").alias("n")).where("n > 1"))
+    held = join_counted(prints, shared, ["low"], prints.count())
+    held = cut(held.select("id", "low", F.explode("spans").alias("x")).select("id", "low", "x.*"))
+    first = cut(held.groupBy("low", "whole").agg(F.min(F.struct("id", "at")).alias("f"), F.count("*").alias("n")).where("n > 1"))
+    found = join_counted(held, first, ["low", "whole"], held.count())
     later = found.where((F.col("id") != F.col("f.id")) | (F.col("at") != F.col("f.at")))
     # within one document the first run stays whole
     begin = F.when(F.col("id") == F.col("f.id"), F.greatest(F.col("f.at") + F.col("len"), F.col("at"))).otherwise(F.col("at"))
