@@ -2,7 +2,7 @@
 
 import pytest
 from pyspark.sql import functions as F
-from vecspark.llm import common, line_dedup
+from vecspark.llm import common, line_dedup, simhash_dedup
 
 
 @pytest.mark.parametrize("hot_keys", [1, 4, 1 << 14])
@@ -24,3 +24,11 @@ def test_hot_passage_is_not_dealt_by_its_key(spark, monkeypatch):
     got = line_dedup.dedup(docs)
     assert got.where("_removed = 1").count() == 3999
     assert got.where("doc_id = 0").first()._removed == 0
+
+
+def test_one_fingerprint_and_one_component_for_many_rows(spark, monkeypatch):
+    monkeypatch.setattr(common, "HOT_KEYS", 16)
+    fps = common.cut(spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, 0).otherwise(F.xxhash64("id")).cast("long").alias("fp")))
+    got = {r.doc_id: r.component_id for r in simhash_dedup.groups(fps).collect()}
+    assert len(got) == 3000
+    assert all(got[i] == 0 for i in range(0, 3000, 3))

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, inside, load, row_keys, small_or_joined, without_repeats
+from .common import components, cut, inside, join_counted, load, row_keys, small_or_joined, without_repeats
 
 SEED = 42
 RADIUS = 2
@@ -135,13 +135,13 @@ def links(distinct: DataFrame) -> DataFrame:
 
 
 def groups(fps: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(id, fp) with component_id, the smallest id of the component."""
-    per = cut(fps.groupBy("fp").agg(F.min(id_col).alias("first")))
+    """Checkpointed (id, fp) with component_id, the smallest id of the component; a fingerprint of many copies loads no task."""
+    per = cut(fps.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("copies")))
     roots = components(links(per))
-    rooted = cut(per.join(roots, per.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root")))
-    least = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(least, "root").select("fp", "component_id")
-    return fps.join(named, "fp")
+    rooted = cut(per.join(roots, per.fp == roots.node, "left").select("fp", "first", "copies", F.coalesce("root", "fp").alias("root")))
+    least = cut(rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n")))
+    named = cut(join_counted(rooted, least, ["root"], rooted.count()).select("fp", "component_id", F.col("copies").alias("n")))
+    return join_counted(fps, named, ["fp"], fps.count())
 
 
 def near_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
