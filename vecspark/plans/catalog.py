@@ -18,6 +18,7 @@ from ..operators import candidates as C
 from ..operators import evaluate as E
 from ..operators import graph as G
 from ..operators.adapters import IVF, Dummy, HammingRank, tree_votes
+from ..operators.grouped import bucket_topk
 from ..operators.hashing import CrossPolytope, FHTCrossPolytope, Independent, MinHash, Pool, SimHash, Tensor, hadamard, hash_codes, in_batches, matrix, sketches
 from ..operators.index import Index, depth_histogram
 from ..operators.knn import adjacency, graph_of, jaccard_pairs, knn, knn_graph, kth_similarity, score_pairs, topk
@@ -534,7 +535,7 @@ def lsh_bucket_join(spark, sf_dir):
 
 @query(f"WITH {CODES}, {BUCKET}, {graph_sql('bp')}")
 def lsh_bucket_topk(spark, sf_dir):
-    return edges_out(graph_of(score_pairs(C.bucket_pairs(codes(spark, sf_dir)), points(spark, sf_dir)), K))
+    return edges_out(topk(bucket_topk(codes(spark, sf_dir), points(spark, sf_dir), K), K))
 
 
 @query(f"WITH {CODES} SELECT DISTINCT a.id AS i, b.id AS j FROM codes a JOIN codes b ON a.table_id = b.table_id AND a.h = b.h AND a.id < b.id WHERE NOT (a.id % 3 = 0 AND b.id % 3 = 0)")
