@@ -787,7 +787,7 @@ def relative_error(spark, sf_dir):
 @query(f"WITH {CODES}, {BUCKET}, {ALL_EDGES}, x AS ({top_sql('edges')}), sc AS (SELECT i, j, {cos('a.vec', 'b.vec')} AS sim FROM bp JOIN pts a ON a.id = i JOIN pts b ON b.id = j), bw AS (SELECT i AS src, j AS dst, sim FROM sc UNION ALL SELECT j, i, sim FROM sc), y AS ({top_sql('bw')}) SELECT x.src, round(count(y.dst) / {K}, 6) AS recall FROM x LEFT JOIN y ON x.src = y.src AND x.dst = y.dst GROUP BY 1")
 def set_recall(spark, sf_dir):
     p = points(spark, sf_dir)
-    approx = graph_of(score_pairs(C.bucket_pairs(codes(spark, sf_dir)), p), K)
+    approx = topk(bucket_topk(codes(spark, sf_dir), p, K), K)
     return rounded(E.set_recall(knn_graph(p, K), approx, K), recall=6)
 
 
