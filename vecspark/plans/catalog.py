@@ -853,7 +853,7 @@ SAMPLE = "sm AS (SELECT id FROM pts ORDER BY md5('10:' || id::VARCHAR), id LIMIT
 def sampled_recall(spark, sf_dir):
     p = points(spark, sf_dir)
     asked = E.sampled(p, 50)
-    approx = graph_of(score_pairs(C.bucket_pairs(codes(spark, sf_dir)), p), K)
+    approx = topk(bucket_topk(codes(spark, sf_dir), p, K, asked), K)
     return ints(E.recall_histogram(knn(asked, p, K, exclude_self=True), approx, K), "found")
 
 
