@@ -5,14 +5,16 @@ from __future__ import annotations
 import math
 import random
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.probability import simhash_p
 from ..lineage import saved
 from . import candidates as C
+from .grouped import grouped_topk
 from .hashing import CrossPolytope, FHTCrossPolytope, Independent, SimHash, hash_codes, prefix_collision, sketches
-from .knn import graph_of, kth_similarity, knn, knn_graph, score_pairs
+from .knn import graph_of, kth_similarity, knn, knn_graph, score_pairs, topk
 
 SKETCHES = 16
 BATCH = 16
@@ -38,7 +40,21 @@ def _with_sketches(hashes: DataFrame, points: DataFrame, dim: int, bits: int, kt
     sk = sketches(points, dim, SKETCHES, 1, seed + 77).select("id", "sketch_no", F.col("w0").alias("sk"))
     thr = F.lit(64) if kth is None else F.floor(64 * (1 - simhash_p(F.col("kth")))).cast("int")
     out = hashes.withColumn("sketch_no", F.pmod("table_id", F.lit(SKETCHES))).join(sk, ["id", "sketch_no"]).drop("sketch_no")
-    return out.withColumn("thr", thr) if kth is None else out.join(kth, "id").withColumn("thr", thr).drop("kth")
+    return out.withColumn("thr", thr) if kth is None else out.join(kth, "id").withColumn("thr", thr)
+
+
+def _near(a: dict, b: dict):
+    """Sketch filter: at most the larger of both thresholds of differing bits."""
+    return np.bitwise_count((a["sk"] ^ b["sk"]).view(np.uint64)) <= np.maximum(a["thr"], b["thr"])
+
+
+def _grown(edges: DataFrame | None, found: DataFrame, k: int) -> DataFrame:
+    """The graph of the edges so far and those found."""
+    return saved(topk(found if edges is None else found.unionByName(edges.select("src", "dst", "sim")), k))
+
+
+def _columns(hashes: DataFrame, *more: str) -> tuple[str, ...]:
+    return tuple(c for c in ("sk", "thr", "kth", *more) if c in hashes.columns)
 
 
 def _codes(points: DataFrame, dim: int, reps: int, bits: int, seed: int, hash_function: str = "default", rotations: int = 3) -> DataFrame:
@@ -88,7 +104,8 @@ def plain(points: DataFrame, k: int, recall: float = 0.5, hash_length: int = 16,
         h = _codes(points, dim, BATCH, hash_length, seed + reps)
         if use_sketching:
             h = _with_sketches(h, points, dim, hash_length, kth, seed)
-        edges = saved(graph_of(score_pairs(C.bucket_pairs(h, use_sketching), points), k, edges))
+        rows = h.withColumns({"left": F.lit(True), "right": F.lit(True)})
+        edges = _grown(edges, grouped_topk(rows, points, k, ["table_id", "h"], extra=_columns(h), keep=_near if use_sketching else None), k)
         reps += BATCH
         p = F.pow(simhash_p(F.col("kth")), F.lit(float(hash_length)))
         if kth_similarity(edges, points, k).agg(F.avg(1 - F.pow(1 - p, F.lit(float(reps))))).first()[0] >= recall:
