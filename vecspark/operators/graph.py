@@ -137,7 +137,10 @@ def varying_repetitions(points: DataFrame, k: int, recall: float = 0.8, keep_poi
             h = h.join(frozen, "id")
             sized = h.groupBy("table_id", "h").agg(F.sum((~F.col("frozen")).cast("long")).alias("a"), F.sum(F.col("frozen").cast("long")).alias("b"))
             updates = sized.agg(F.sum(F.col("a") * (F.col("a") - 1) / 2 + F.col("a") * F.col("b"))).first()[0] or 0
-            edges = saved(graph_of(score_pairs(C.bucket_pairs(h, use_sketching, keep_points), points), k, edges))
+            # each pair has a live row, whose bucket it is found from
+            rows = h.withColumns({"left": ~F.col("frozen"), "right": F.lit(True)})
+            rows = rows if keep_points else rows.where("left")
+            edges = _grown(edges, grouped_topk(rows, points, k, ["table_id", "h"], extra=_columns(h), keep=_near if use_sketching else None, both=True), k)
             reps[length] = reps.get(length, 0) + batch
             miss = F.lit(1.0)
             for b, r in reps.items():
