@@ -193,10 +193,23 @@ def equal_failure_prob(points: DataFrame, k: int, recall: float = 0.5, hash_leng
         h = _codes(points, dim, 1, hash_length, seed + 1 + rep)
         if use_sketching:
             h = _with_sketches(h, points, dim, hash_length, kth, seed)
-        edges = saved(graph_of(score_pairs(C.varying_pairs(h.join(lens, "id"), hash_length, use_sketching), points), k, edges))
+        edges = _grown(edges, _varying_topk(h.join(lens, "id"), points, k, hash_length, use_sketching), k)
     return edges
 
 
+def _varying_topk(hashes: DataFrame, points: DataFrame, k: int, bits: int, sketched: bool) -> DataFrame:
+    """The k best partners of each row by the pairs of candidates.varying_pairs."""
+    lens = hashes.select("len").distinct().withColumnRenamed("len", "_len")  # at most bits + 1 rows
+    rows = hashes.crossJoin(F.broadcast(lens)).withColumn("prefix", F.expr(f"shiftright(h, {bits} - _len)"))
+    rows = rows.withColumns({"left": F.col("len") == F.col("_len"), "right": F.lit(True)})
+
+    def keep(a: dict, b: dict):
+        after = (b["h"] > a["h"]) | ((b["h"] == a["h"]) & (b["id"] > a["id"]))
+        return after & _near(a, b) if sketched else after
+
+    return grouped_topk(rows, points, k, ["table_id", "_len", "prefix"], extra=_columns(hashes, "h"), keep=keep, both=True)
+
+
 METHODS = {"plain": plain, "varying_repetitions": varying_repetitions, "fixed_buckets": fixed_buckets, "bounded_buckets": bounded_buckets, "projection": projection, "nndescent": nndescent, "equal_failure_prob": equal_failure_prob}
 
 
