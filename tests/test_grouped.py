@@ -87,3 +87,76 @@ def test_varying_lengths_give_the_best_of_their_pairs(spark, monkeypatch, sketch
 def test_builders_shuffle_rows_not_pairs(spark, method, options):
     p = catalog.points(spark, SF).cache()
     assert shuffled(spark, lambda: G.build_graph("angular", p, 5, method, **options).collect()) < 800 * N
+
+
+def brute(sets: dict, asked, k: int):
+    out = set()
+    for i in asked:
+        sims = sorted(((len(sets[i] & sets[j]) / max(1, len(sets[i] | sets[j])), j) for j in sets), reverse=True)
+        out |= {(i, j, round(v, 6), r + 1) for r, (v, j) in enumerate(sims[:k]) if v > 0}
+    return out
+
+
+def random_sets(spark, n=300, universe=60):
+    rng = np.random.default_rng(4)
+    sets = {i: set(rng.integers(0, universe, size=rng.integers(0, 12)).tolist()) for i in range(n)}
+    return sets, spark.createDataFrame([(i, sorted(t)) for i, t in sets.items()], "id long, tokens array<long>").cache()
+
+
+def test_set_search_in_blocks(spark, monkeypatch):
+    from vecspark.operators.index import Index
+
+    for name, value in (("QUERY_TOKENS", 200), ("POINT_TOKENS", 150), ("MATCHES", 50), ("CELLS", 300)):
+        monkeypatch.setattr(grouped, name, value)
+    sets, df = random_sets(spark)
+    index = Index("jaccard", 60).insert(df)
+    asked = df.where("id % 7 = 0")
+    assert rows_of(index._exact(asked, 6)) == brute(sets, [i for i in sets if i % 7 == 0], 6)
+    pairs = spark.range(300).where("id % 7 = 0").select(F.col("id").alias("src"), ((F.col("id") * 31 + 5) % 300).alias("dst"))
+    want = {(i, (i * 31 + 5) % 300) for i in range(0, 300, 7)}
+    want = {(i, j, round(len(sets[i] & sets[j]) / len(sets[i] | sets[j]), 6)) for i, j in want if sets[i] & sets[j]}
+    assert {(r.src, r.dst, round(r.sim, 6)) for r in index._score(pairs, df, 6).collect()} == want
+
+
+def test_set_search_shuffles_sets_not_pairs(spark):
+    from vecspark.operators.index import Index
+
+    df = spark.range(3000).select("id", F.array(F.lit(1).cast("long"), (F.col("id") + 2)).alias("tokens")).cache()
+    assert shuffled(spark, lambda: Index("jaccard", 4000).insert(df)._exact(df, 5).collect()) < 100_000  # 9,000,000 pairs
+
+
+def test_depths_shuffle_codes_not_pairs(spark):
+    from vecspark.operators.index import depth_histogram
+
+    c = spark.range(3000).select(F.explode(F.array(F.lit(0), F.lit(1))).alias("table_id"), "id").withColumn("h", F.pmod(F.xxhash64("table_id", "id"), F.lit(32))).cache()
+    assert shuffled(spark, lambda: depth_histogram(c, c, 6).collect()) < 100_000  # 9,000,000 pairs
+
+
+def test_equal_sets_are_compared_once(spark, monkeypatch):
+    from vecspark.operators import knn as knn_module
+
+    sets, df = random_sets(spark, 200, 8)
+    want = {(i, j, round(len(a & b) / len(a | b), 6)) for i, a in sets.items() for j, b in sets.items() if i < j and a | b and len(a & b) >= 0.6 * len(a | b)}
+    monkeypatch.setattr(knn_module, "MEMBERS", 3)
+    got = [(r.i, r.j, round(r.sim, 6)) for r in knn_module.jaccard_pairs(df, 0.6).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    monkeypatch.undo()
+    copies = spark.range(2000).select("id", F.array(F.lit(1).cast("long"), F.lit(2).cast("long")).alias("tokens")).cache()
+    assert shuffled(spark, lambda: knn_module.jaccard_pairs(copies, 0.8).count()) < 20_000  # 1,999,000 pairs
+
+
+def test_varying_pairs_meet_once(spark):
+    from vecspark.operators import candidates as C
+
+    p = catalog.points(spark, SF).limit(300)
+    h = G._codes(p, catalog.DIM, 4, 6, 5).withColumn("len", (F.col("id") % 4 + F.col("table_id") % 2).cast("int"))
+    h = h.where("id % 11 > 0 or table_id <> 1").cache()
+    rows = h.collect()
+    want = set()
+    for a in rows:
+        for b in rows:
+            if a.table_id == b.table_id and a.h >> (6 - a.len) == b.h >> (6 - a.len) and (b.h, b.id) > (a.h, a.id):
+                want.add((min(a.id, b.id), max(a.id, b.id)))
+    got = [tuple(r) for r in C.varying_pairs(h, 6).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
+    assert shuffled(spark, lambda: C.varying_pairs(h, 6).count()) < len(want)

@@ -14,10 +14,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..lineage import saved
 from .hashing import matrix
 
 BLOCK = 1024
 DIGITS = 9
+#: Ids of equal sets in one list.
+MEMBERS = 1024
 
 
 def topk(edges: DataFrame, k: int, by: str = "src", other: str = "dst", sim: str = "sim") -> DataFrame:
@@ -125,8 +128,26 @@ def graph_of(scored: DataFrame, k: int, previous: DataFrame | None = None) -> Da
 def jaccard_pairs(sets: DataFrame, least: float) -> DataFrame:
     """Rows (i, j, sim) of all pairs i < j of sets (id, tokens) with Jaccard similarity >= least > 0.
 
-    Candidates share a token of their prefix of rarest tokens, which every pair that similar does.
+    Equal sets are compared once. Candidates share a token of their prefix of rarest tokens, which every pair that similar
+    does; ids are paired last, from lists of at most MEMBERS equal sets, so that no pair of ids is shuffled.
     """
+    keyed = sets.where(F.size("tokens") > 0).select("id", F.array_sort("tokens").alias("tokens"))
+    listed = Window.partitionBy("tokens").orderBy("id")
+    members = keyed.withColumn("part", F.floor((F.row_number().over(listed) - 1) / MEMBERS)).groupBy("tokens", "part").agg(F.collect_list("id").alias("ids"), F.min("id").alias("first"))
+    # a class of equal sets has its least id
+    members = saved(members.withColumn("c", F.min("first").over(Window.partitionBy("tokens"))).select("c", "part", "tokens", "ids"))
+    classes = members.where("part = 0").select(F.col("c").alias("id"), "tokens")
+    alike = _class_pairs(classes, least).unionByName(classes.select(F.col("id").alias("i"), F.col("id").alias("j"), F.lit(1.0).alias("sim")))
+    one = members.select(F.col("c").alias("i"), F.col("part").alias("pi"), F.col("ids").alias("a"))
+    two = members.select(F.col("c").alias("j"), F.col("part").alias("pj"), F.col("ids").alias("b"))
+    # of two parts of one class, the earlier stands first
+    met = saved(alike).join(one, "i").join(two, "j").where("i <> j or pi <= pj").select("a", "b", "sim", (F.col("i") == F.col("j")).alias("same"))
+    each = met.repartition(F.xxhash64("a"), F.xxhash64("b")).withColumn("x", F.explode("a")).withColumn("y", F.explode("b")).where("not same or x < y")
+    return each.select(F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "sim").where("i < j")
+
+
+def _class_pairs(sets: DataFrame, least: float) -> DataFrame:
+    """Rows (i, j, sim), i < j, of distinct sets that similar."""
     tokens = sets.select("id", F.size("tokens").alias("n"), F.explode("tokens").alias("t"))
     rarity = tokens.groupBy("t").agg(F.count("*").alias("df"))
     ranked = tokens.join(rarity, "t").withColumn("r", F.row_number().over(Window.partitionBy("id").orderBy("df", "t")))
