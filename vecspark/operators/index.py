@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.probability import simhash_p
 from ..lineage import saved
+from .grouped import depth_counts, jaccard_topk
 from .hashing import CrossPolytope, FHTCrossPolytope, Independent, MinHash, Pool, SimHash, Tensor, hash_codes, sketches
 from .knn import knn, score_pairs, topk
 
@@ -119,12 +120,10 @@ class Index:
         q = codes.select("table_id", F.col("id").alias("src"), F.shiftright("h", cut).alias("p"))
         return q.join(sizes, ["table_id", "p"], "left").groupBy("src").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("load"))
 
-    def _score(self, pairs: DataFrame, queries: DataFrame) -> DataFrame:
+    def _score(self, pairs: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+        """The pairs (src, dst) with their similarities, those that may be among a query's k best at least."""
         if self.metric == "jaccard":
-            both = pairs.join(queries.select(F.col("id").alias("src"), F.col("tokens").alias("a")), "src").join(self.points.select(F.col("id").alias("dst"), F.col("tokens").alias("b")), "dst")
-            n = F.size(F.array_intersect("a", "b"))
-            either = F.size("a") + F.size("b") - n
-            return both.select("src", "dst", F.when(either > 0, n / either).otherwise(0.0).alias("sim"))
+            return jaccard_topk(queries, self.points, k, pairs)
         return score_pairs(pairs.toDF("i", "j"), queries, self.metric, self.points).toDF("src", "dst", "sim")
 
     def needed_depth(self, kth: Column, recall: float, start: int) -> Column:
@@ -152,7 +151,7 @@ class Index:
         load = saved(self._load(codes, start))
         light = load.where(F.col("load") * PAIR_COST <= n)
         part = codes.join(light.select(F.col("src").alias("id")), "id", "left_semi")
-        found = saved(topk(self._score(self.candidates(part, start), asked), k))
+        found = saved(topk(self._score(self.candidates(part, start), asked, k), k))
         kth = light.join(found.where(F.col("rank") == k).select("src", F.col("sim").alias("kth")), "src", "left").na.fill(0.0, ["kth"])
         grown = F.col("load") * F.pow(F.lit(2.0), F.lit(start) - F.col("depth"))
         # what a shorter prefix will cost is estimated by doubling with each bit
@@ -166,7 +165,7 @@ class Index:
             pairs = self.candidates(mine, d).join(found.select("src", "dst"), ["src", "dst"], "left_anti")
             if q_sk is not None:
                 pairs = self._sketch_filter(pairs, found, q_sk, k, d)
-            kept = kept.unionByName(self._score(pairs, asked))
+            kept = kept.unionByName(self._score(pairs, asked, k))
         rest = asked.join(plan.where("not exact").select(F.col("src").alias("id")), "id", "left_anti")
         if not rest.isEmpty():
             kept = kept.unionByName(self._exact(rest, k).select("src", "dst", "sim"))
@@ -186,9 +185,7 @@ class Index:
         if self.metric != "jaccard":
             return knn(queries.select("id", "vec"), self.points.select("id", "vec"), k, self.metric)
         # only sets that share a token have a similarity above 0
-        a = queries.select(F.col("id").alias("src"), F.explode("tokens").alias("t"))
-        b = self.points.select(F.col("id").alias("dst"), F.explode("tokens").alias("t"))
-        return topk(self._score(a.join(b, "t").select("src", "dst").distinct(), queries), k)
+        return topk(jaccard_topk(queries, self.points, k), k)
 
 
 def search_ids(found: DataFrame) -> DataFrame:
@@ -198,8 +195,5 @@ def search_ids(found: DataFrame) -> DataFrame:
 
 def depth_histogram(codes_q: DataFrame, codes_x: DataFrame, bits: int = LENGTH) -> DataFrame:
     """For each query, the number of points by the longest prefix shared in any table (those that share the first bit)."""
-    q = codes_q.select("table_id", F.col("id").alias("src"), F.col("h").alias("hq"), F.shiftright("h", bits - 1).alias("p"))
-    x = codes_x.select("table_id", F.col("id").alias("dst"), F.col("h").alias("hx"), F.shiftright("h", bits - 1).alias("p"))
-    d = F.when(F.col("hq") == F.col("hx"), bits).otherwise(bits - F.length(F.bin(F.col("hq").bitwiseXOR(F.col("hx")))))
-    best = q.join(x, ["table_id", "p"]).groupBy("src", "dst").agg(F.max(d).alias("depth"))
-    return best.groupBy("src", "depth").count().withColumn("deeper", F.sum("count").over(Window.partitionBy("src").orderBy(F.desc("depth"))))
+    best = depth_counts(codes_q, codes_x, bits)
+    return best.withColumn("deeper", F.sum("count").over(Window.partitionBy("src").orderBy(F.desc("depth"))))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import bits as B
 from ..functions import probability as P
 from ..functions import vectors as V
+from ..lineage import saved
 from ..operators import candidates as C
 from ..operators import evaluate as E
 from ..operators import graph as G
@@ -313,7 +314,7 @@ PART_SETS = "ps AS (SELECT l_suppkey AS id, list_sort(list(DISTINCT l_partkey))
 
 @query(f"WITH {PART_SETS}, j AS (SELECT a.id AS src, b.id AS dst, len(list_intersect(a.tokens, b.tokens)) AS n, len(a.tokens) + len(b.tokens) AS m FROM ps a, ps b WHERE a.id % 20 = 0), e AS (SELECT src, dst, n / (m - n) AS sim FROM j) SELECT src, dst, round(sim, 6) AS sim, rank FROM ({top_sql('e')})")
 def exact_knn_search_jaccard(spark, sf_dir):
-    s = part_baskets(spark, sf_dir)
+    s = saved(part_baskets(spark, sf_dir))
     index = Index("jaccard", UNIVERSE).insert(s)
     return edges_out(index._exact(s.where(F.col("id") % 20 == 0), K))
 
