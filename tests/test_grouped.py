@@ -160,3 +160,9 @@ def test_varying_pairs_meet_once(spark):
     got = [tuple(r) for r in C.varying_pairs(h, 6).collect()]
     assert len(got) == len(set(got)) and set(got) == want
     assert shuffled(spark, lambda: C.varying_pairs(h, 6).count()) < len(want)
+
+
+def test_descent_makes_no_pairs(spark, monkeypatch):
+    monkeypatch.setattr(G.C, "descent_pairs", lambda *a: pytest.fail("pairs as rows"))
+    p = catalog.points(spark, SF).limit(300).cache()
+    assert G.nndescent(p, 5, repetitions=1).count() == 5 * 300

@@ -17,4 +17,7 @@ def saved(df: DataFrame) -> DataFrame:
                 raise ValueError("a cluster needs a shared folder: set spark.checkpoint.dir")
             folder = tempfile.mkdtemp(prefix="vecspark-")
         spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    # loops make many plans and shuffles; the driver gives back the heap and the shuffle files of those that are done
+    spark.sparkContext._jvm.System.gc()
+    return out

@@ -164,15 +164,19 @@ def nndescent(points: DataFrame, k: int, repetitions: int = 20, sample_rate: flo
     start = C.random_pairs(points, k, seed).select(F.least("src", "dst").alias("i"), F.greatest("src", "dst").alias("j"))
     edges = saved(graph_of(score_pairs(start, points), k))
     for number in range(repetitions):
+        if sk is None:
+            # all neighbours of a node meet in place
+            rows = C.descent_neighbours(edges, k, sample_rate).withColumns({"left": F.lit(True), "right": F.lit(True)}).withColumnRenamed("v", "id")
+            before, edges = edges, _grown(edges, grouped_topk(rows, points, k, ["c"]), k)
+            if edges.join(before, ["src", "dst"], "left_anti").isEmpty():  # all further rounds give the same
+                break
+            continue
         pairs = C.descent_pairs(edges, k, sample_rate)
-        if sk is not None:
-            thr = F.floor(64 * (1 - simhash_p(F.col("kth")))).cast("int").alias("thr")
-            side = sk.where(F.col("sketch_no") == number % SKETCHES).join(kth_similarity(edges, points, k).select("id", thr), "id")
-            one, two = (side.select(F.col("id").alias(c), F.col("w0").alias(f"s{c}"), F.col("thr").alias(f"t{c}")) for c in "ij")
-            pairs = pairs.join(one, "i").join(two, "j").where(F.bit_count(F.col("si").bitwiseXOR(F.col("sj"))) <= F.greatest("ti", "tj")).select("i", "j")
-        before, edges = edges, saved(graph_of(score_pairs(pairs, points), k, edges))
-        if sk is None and edges.join(before, ["src", "dst"], "left_anti").isEmpty():  # all further rounds give the same
-            break
+        thr = F.floor(64 * (1 - simhash_p(F.col("kth")))).cast("int").alias("thr")
+        side = sk.where(F.col("sketch_no") == number % SKETCHES).join(kth_similarity(edges, points, k).select("id", thr), "id")
+        one, two = (side.select(F.col("id").alias(c), F.col("w0").alias(f"s{c}"), F.col("thr").alias(f"t{c}")) for c in "ij")
+        pairs = pairs.join(one, "i").join(two, "j").where(F.bit_count(F.col("si").bitwiseXOR(F.col("sj"))) <= F.greatest("ti", "tj")).select("i", "j")
+        edges = saved(graph_of(score_pairs(pairs, points), k, edges))
     return edges
 
 
